@@ -48,7 +48,7 @@ class PrefixHash:
         return (self.sums[end] - self.sums[start]) * self.back[start]
 
 
-def chunks(texts: list[bytes], limit: int = 4 << 20):
+def chunks(texts: list[bytes], limit: int = 2 << 20):
     """(first, last) index ranges whose bytes together stay near ``limit``; a longer text is alone."""
     first, size = 0, 0
     for i, t in enumerate(texts):

@@ -23,6 +23,12 @@ def op1_quality_crf(spark, sf_dir):
     )
 
 
+def op2_jaccard_join(spark, sf_dir):
+    from tapeworks.llm.jaccard_join import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op7_line_dedup(spark, sf_dir):
     from tapeworks.llm.line_dedup import apply_bitmaps, line_bitmaps
 
@@ -40,9 +46,23 @@ def op8_sharding(spark, sf_dir):
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_crf, op7_line_dedup, op8_sharding)}
+QUERIES = {f.__name__: f for f in (op1_quality_crf, op2_jaccard_join, op7_line_dedup, op8_sharding)}
 
 ORACLES = {
+    "op2_jaccard_join": r"""
+with recursive w as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents),
+s as (select doc_id, unnest(list_distinct(case when len(ws) = 0 then [] when len(ws) < 5 then [array_to_string(ws, ' ')]
+    else list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) end)) as g from w),
+n as (select doc_id, count(*) as n from s group by doc_id),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+l as (select a, b from p join n x on p.a = x.doc_id join n y on p.b = y.doc_id where 100 * c >= 80 * (x.n + y.n - c)),
+e as (select a, b from l union all select b, a from l),
+r as (select doc_id as node, doc_id as root from w union select e.b, r.root from r join e on r.node = e.a),
+c as (select node, min(root) as root from r group by node)
+select w.doc_id, coalesce(n.n, 0) as n_shingles, c.root as component_id
+from w left join n on w.doc_id = n.doc_id join c on c.node = w.doc_id
+""",
     "op7_line_dedup": r"""
 with l as (select doc_id, coalesce(text, '') as text, string_split(coalesce(text, ''), chr(10)) as ls from documents),
 x as (select doc_id, unnest(ls) as line, generate_subscripts(ls, 1) as pos from l),
