@@ -29,6 +29,21 @@ def op2_jaccard_join(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op4_decontaminate(spark, sf_dir):
+    from tapeworks.llm.decontaminate import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_mix_sources(spark, sf_dir):
+    from tapeworks.llm.mixing import mix_sources
+
+    return mix_sources(table(spark, sf_dir, "documents")).select(
+        "doc_id", "source", F.col("__n_tokens").alias("n_tokens"), F.col("__weight").alias("weight"),
+        F.col("__epoch").alias("epoch"), F.col("__block").alias("block"), F.col("__place").alias("place"),
+    )
+
+
 def op7_line_dedup(spark, sf_dir):
     from tapeworks.llm.line_dedup import apply_bitmaps, line_bitmaps
 
@@ -46,7 +61,7 @@ def op8_sharding(spark, sf_dir):
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_crf, op2_jaccard_join, op7_line_dedup, op8_sharding)}
+QUERIES = {f.__name__: f for f in (op1_quality_crf, op2_jaccard_join, op4_decontaminate, op5_mix_sources, op7_line_dedup, op8_sharding)}
 
 ORACLES = {
     "op2_jaccard_join": r"""
