@@ -61,7 +61,15 @@ def op8_sharding(spark, sf_dir):
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_crf, op2_jaccard_join, op4_decontaminate, op5_mix_sources, op7_line_dedup, op8_sharding)}
+def op10_suffix_dedup(spark, sf_dir):
+    from tapeworks.llm.suffix_dedup import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_crf, op2_jaccard_join, op4_decontaminate, op5_mix_sources, op7_line_dedup, op8_sharding, op10_suffix_dedup)}
 
 ORACLES = {
     "op2_jaccard_join": r"""
