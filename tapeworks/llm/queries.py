@@ -44,6 +44,18 @@ def op5_mix_sources(spark, sf_dir):
     )
 
 
+def op3_html_consensus(spark, sf_dir):
+    from tapeworks.llm.html_text import extract_main_text
+
+    return extract_main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+def op6_graph_search(spark, sf_dir):
+    from tapeworks.llm.graph_search import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op7_line_dedup(spark, sf_dir):
     from tapeworks.llm.line_dedup import apply_bitmaps, line_bitmaps
 
@@ -69,7 +81,7 @@ def op10_suffix_dedup(spark, sf_dir):
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_crf, op2_jaccard_join, op4_decontaminate, op5_mix_sources, op7_line_dedup, op8_sharding, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_quality_crf, op2_jaccard_join, op3_html_consensus, op4_decontaminate, op5_mix_sources, op6_graph_search, op7_line_dedup, op8_sharding, op10_suffix_dedup)}
 
 ORACLES = {
     "op2_jaccard_join": r"""
