@@ -73,6 +73,18 @@ def op8_sharding(spark, sf_dir):
     )
 
 
+def op9_personal_data(spark, sf_dir):
+    from tapeworks.llm.personal_data import joined, personal_spans, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = personal_spans(docs, train(docs))
+    n = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
+    return rows.select(
+        "doc_id", n(0).alias("n_email"), n(1).alias("n_ip"), n(2).alias("n_card"), n(3).alias("n_phone"),
+        F.sha2(joined("base").cast("binary"), 256).alias("base_sha256"), joined("spans").alias("spans"),
+    )
+
+
 def op10_suffix_dedup(spark, sf_dir):
     from tapeworks.llm.suffix_dedup import remove_repeats
 
@@ -81,7 +93,7 @@ def op10_suffix_dedup(spark, sf_dir):
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_crf, op2_jaccard_join, op3_html_consensus, op4_decontaminate, op5_mix_sources, op6_graph_search, op7_line_dedup, op8_sharding, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_quality_crf, op2_jaccard_join, op3_html_consensus, op4_decontaminate, op5_mix_sources, op6_graph_search, op7_line_dedup, op8_sharding, op9_personal_data, op10_suffix_dedup)}
 
 ORACLES = {
     "op2_jaccard_join": r"""
