@@ -64,11 +64,36 @@ def _lists(values: np.ndarray, owner: np.ndarray, n_docs: int, kind) -> pa.Array
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.astype(kind)))
 
 
+class _Orders:
+    """The token orders: frequent tokens last, the others by a hash that differs for each order."""
+
+    def __init__(self, heavy: np.ndarray):
+        self.by = np.argsort(heavy)
+        self.heavy = heavy[self.by]
+
+    def rank(self, h: np.ndarray) -> np.ndarray:
+        rank = np.zeros(len(h), np.uint64)
+        if len(self.heavy) and len(h):
+            at = np.minimum(np.searchsorted(self.heavy, h), len(self.heavy) - 1)
+            hit = self.heavy[at] == h
+            rank[hit] = self.by[at[hit]].astype(np.uint64) + np.uint64(1)
+        return rank
+
+    def prefixes(self, own: np.ndarray, h: np.ndarray, n: np.ndarray, orders) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each order the owner and token of each prefix place, in order."""
+        rank = self.rank(h) << np.uint64(46)
+        place = np.arange(len(h)) - (np.cumsum(n) - n)[own]
+        keep = place < _prefix_length(n)[own]
+        out = []
+        for k in orders:
+            order = np.lexsort((rank | (mix(h + np.uint64(0x9E3779B9 * (k + 7))) >> np.uint64(18)), own))
+            out.append((own[keep], h[order][keep]))
+        return out
+
+
 def _signatures(shared):
     def rows(batches):
-        heavy = shared.value
-        by = np.argsort(heavy)
-        sorted_heavy = heavy[by]
+        orders = _Orders(shared.value)
         for batch in batches:
             texts, ids = _texts(batch.column("text")), batch.column("doc_id")
             for i, j in chunks(texts):
@@ -76,11 +101,6 @@ def _signatures(shared):
                 own, h = shingle_sets(texts[i:j])
                 n = np.bincount(own, minlength=m)
                 first = np.concatenate([[0], np.cumsum(n)[:-1]])
-                rank = np.zeros(len(h), np.uint64)
-                if len(heavy) and len(h):
-                    at = np.minimum(np.searchsorted(sorted_heavy, h), len(heavy) - 1)
-                    hit = sorted_heavy[at] == h
-                    rank[hit] = by[at[hit]].astype(np.uint64) + np.uint64(1)
                 has = n > 0
                 sums = [np.zeros(m, np.uint64) for _ in range(2)]
                 sketch = np.zeros((m, SKETCH), np.uint64)
@@ -89,44 +109,54 @@ def _signatures(shared):
                         sums[k][has] = np.add.reduceat(mix(h + np.uint64(0x1234567 * (k + 1))), first[has])
                     for k in range(SKETCH):
                         sketch[has, k] = np.minimum.reduceat(mix(h ^ np.uint64(0x5851F42D4C957F2D * (k + 1) % (1 << 64))), first[has])
-                cols = []
-                for k in range(ORDERS):
-                    key = (rank << np.uint64(46)) | (mix(h + np.uint64(0x9E3779B9 * (k + 7))) >> np.uint64(18))
-                    order = np.lexsort((key, own))
-                    place = np.arange(len(h)) - first[own]
-                    keep = place < _prefix_length(n)[own]
-                    token = h[order][keep]
-                    cols.append(_lists(token.view(np.int64) if k == 0 else (token >> np.uint64(32)).astype(np.uint32).view(np.int32), own[keep], m, np.int64 if k == 0 else np.int32))
+                ((who, token),) = orders.prefixes(own, h, n, [0])
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(i, m), pa.array(n.astype(np.int64)), *(pa.array(s.view(np.int64)) for s in sums),
-                     _lists(sketch[has].ravel().view(np.int64), np.repeat(np.flatnonzero(has), SKETCH), m, np.int64), *cols],
-                    ["doc_id", "n_shingles", "s1", "s2", "sketch", "p1", "p2", "p3"],
+                     _lists(sketch[has].ravel().view(np.int64), np.repeat(np.flatnonzero(has), SKETCH), m, np.int64),
+                     _lists(token.view(np.int64), who, m, np.int64)],
+                    ["doc_id", "n_shingles", "s1", "s2", "sketch", "prefix"],
                 )
 
     return rows
 
 
+def _members(batches, words: np.ndarray):
+    """Ids and shingle sets of the documents that the bit map lets pass."""
+    for batch in batches:
+        bit = batch.column("bit").to_numpy()
+        batch = batch.filter(pa.array((words[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1) == 1))
+        texts, ids = _texts(batch.column("text")), batch.column("doc_id")
+        for i, j in chunks(texts):
+            yield ids.slice(i, j - i), j - i, *shingle_sets(texts[i:j])
+
+
 def _sets(shared):
     def rows(batches):
-        words = shared.value
-        for batch in batches:
-            bit = batch.column("bit").to_numpy()
-            batch = batch.filter(pa.array((words[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1) == 1))
-            texts, ids = _texts(batch.column("text")), batch.column("doc_id")
-            for i, j in chunks(texts):
-                own, h = shingle_sets(texts[i:j])
-                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), _lists(h.view(np.int64), own, j - i, np.int64)], ["doc_id", "tokens"])
+        for ids, m, own, h in _members(batches, shared.value):
+            yield pa.RecordBatch.from_arrays([ids, _lists(h.view(np.int64), own, m, np.int64)], ["doc_id", "tokens"])
 
     return rows
 
 
-def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose shingle sets have 80 % or more in common.
+def _further_prefixes(shared, heavy):
+    """Prefixes under the second and third order, as 32-bit parts of the tokens."""
+
+    def rows(batches):
+        orders = _Orders(heavy.value)
+        for ids, m, own, h in _members(batches, shared.value):
+            n = np.bincount(own, minlength=m)
+            cols = [_lists((t >> np.uint64(32)).astype(np.uint32).view(np.int32), w, m, np.int32) for w, t in orders.prefixes(own, h, n, range(1, ORDERS))]
+            yield pa.RecordBatch.from_arrays([ids, *cols], ["doc_id", "p2", "p3"])
+
+    return rows
+
 
-    Only documents of some pair send their sets. A bit map of fixed size, filled from the
-    pairs, tells the scan which ones; where it has filled up it lets more pass, never less.
+def _bit_map(pairs: DataFrame):
+    """Broadcast bit map of fixed size, filled from the documents of the pairs.
+
+    It tells a scan which documents are needed; where it has filled up it lets more pass,
+    never less.
     """
-    sc = docs.sparkSession.sparkContext
     bit = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
     ends = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id")))
     found = (
@@ -135,11 +165,31 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     )
     words = np.zeros(FILTER_BITS >> 6, np.uint64)
     words[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
-    sets = docs.select("doc_id", "text", bit.alias("bit")).mapInArrow(_sets(sc.broadcast(words)), "doc_id long, tokens array<long>")
+    return pairs.sparkSession.sparkContext.broadcast(words)
+
+
+def _scan(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("bit"))
+
+
+def meeting(docs: DataFrame, pairs: DataFrame, heavy) -> DataFrame:
+    """The pairs (a, b) whose prefixes share a token under the second and under the third order."""
+    sides = _scan(docs).mapInArrow(_further_prefixes(_bit_map(pairs), heavy), "doc_id long, p2 array<int>, p3 array<int>")
+    left = sides.select(F.col("doc_id").alias("a"), F.col("p2").alias("a2"), F.col("p3").alias("a3"))
+    right = sides.select(F.col("doc_id").alias("b"), F.col("p2").alias("b2"), F.col("p3").alias("b3"))
+    return pairs.join(right, "b").join(left, "a").where("arrays_overlap(a2, b2) and arrays_overlap(a3, b3)").select("a", "b").distinct()
+
+
+def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose shingle sets have 80 % or more in common.
+
+    Only documents of some pair send their sets, see ``_bit_map``.
+    """
+    sets = _scan(docs).mapInArrow(_sets(_bit_map(pairs)), "doc_id long, tokens array<long>")
     left = sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("ta"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("tb"))
     both = pairs.select("a", "b").join(right, "b").join(left, "a").withColumn("common", F.size(F.array_intersect("ta", "tb")))
-    return both.where("100 * common >= 80 * (size(ta) + size(tb) - common)").select("a", "b")
+    return both.where("100 * common >= 80 * (size(ta) + size(tb) - common)").select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -162,16 +212,15 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
     sc = docs.sparkSession.sparkContext
     heavy = sc.broadcast(frequent_shingles(rows))
-    schema = "doc_id long, n_shingles long, s1 long, s2 long, sketch array<long>, p1 array<long>, p2 array<int>, p3 array<int>"
+    schema = "doc_id long, n_shingles long, s1 long, s2 long, sketch array<long>, prefix array<long>"
     marked = checkpoint(rows.mapInArrow(_signatures(heavy), schema))
     once = marked.groupBy("doc_id").agg(F.max(F.struct("n_shingles", "s1", "s2")).alias("s")).select("doc_id", "s.*")
     filled = once.where("n_shingles > 0")
     classes = filled.groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("class_id"))
     members = checkpoint(once.join(classes, ["n_shingles", "s1", "s2"], "left").select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), "s1", "s2"))
-    leaders = members.where("doc_id = class_id and n_shingles > 0").select("doc_id", "s1", "s2")
-    # one row for each class, with its sketch and prefixes
-    own = marked.join(leaders, ["doc_id", "s1", "s2"], "left_semi").dropDuplicates(["doc_id"])
-    texts = rows
+    leaders = members.where("doc_id = class_id and n_shingles > 0").select(F.col("doc_id").alias("leader"), F.col("s1").alias("l1"), F.col("s2").alias("l2"))
+    # one row for each class, with its sketch and prefix
+    own = marked.join(leaders, F.expr("doc_id = leader and s1 = l1 and s2 = l2"), "left_semi")
 
     keys = own.select("doc_id", "n_shingles", F.posexplode("sketch").alias("k", "low"))
     star = keys.groupBy("k", "low").agg(F.min(F.struct("doc_id", "n_shingles")).alias("top"), F.count("*").alias("n")).where("n > 1")
@@ -179,11 +228,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         keys.join(star, ["k", "low"]).where("doc_id <> top.doc_id and 5 * least(n_shingles, top.n_shingles) >= 4 * greatest(n_shingles, top.n_shingles)")
         .select(F.col("top.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
     )
-    easy = checkpoint(verified(texts, checkpoint(near)))
+    easy = checkpoint(verified(rows, checkpoint(near)))
     joined = checkpoint(connected_components(easy))
 
-    placed = own.join(joined, own.doc_id == joined.node, "left").select("doc_id", F.coalesce("component", "doc_id").alias("comp"), "n_shingles", "p1")
-    posting = placed.select("doc_id", "comp", "n_shingles", F.posexplode("p1").alias("at", "token")).select(
+    placed = own.join(joined, own.doc_id == joined.node, "left").select("doc_id", F.coalesce("component", "doc_id").alias("comp"), "n_shingles", "prefix")
+    posting = placed.select("doc_id", "comp", "n_shingles", F.posexplode("prefix").alias("at", "token")).select(
         "token", "doc_id", "comp",
         F.expr("n_shingles * 2 + if(at < n_shingles - (8 * n_shingles + 8) div 9 + 1, 1, 0)").alias("size"),
     )
@@ -197,13 +246,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         x.join(y, F.expr("x.token = y.token and x.comp <> y.comp and 5 * x.n >= 4 * y.n and (x.n < y.n or (x.n = y.n and x.doc_id < y.doc_id))"))
         .select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
     )
-    others = own.select("doc_id", "p2", "p3")
-    wide = (
-        checkpoint(first).join(others.select(F.col("doc_id").alias("a"), F.col("p2").alias("a2"), F.col("p3").alias("a3")), "a")
-        .join(others.select(F.col("doc_id").alias("b"), F.col("p2").alias("b2"), F.col("p3").alias("b3")), "b")
-    )
-    second = checkpoint(wide.where("arrays_overlap(a2, b2) and arrays_overlap(a3, b3)").select("a", "b"))
-    links = easy.unionByName(checkpoint(verified(texts, second)))
+    second = checkpoint(meeting(rows, checkpoint(first), heavy))
+    links = easy.unionByName(checkpoint(verified(rows, second)))
     linked = connected_components(links)
     degree = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
     return (
