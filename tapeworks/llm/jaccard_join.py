@@ -12,7 +12,8 @@ from tapeworks.llm.hashing import chunks, mix, shingle_sets
 from tapeworks.operators.components import connected_components
 
 ORDERS = 3
-SKETCH = 4
+SKETCH = 12
+FIRST_KEYS = 4
 FILTER_BITS = 1 << 24
 
 
@@ -30,22 +31,28 @@ def _frequent(batches):
         if not found:
             continue
         token, n = np.unique(np.concatenate(found), return_counts=True)
-        keep = n >= max(3, len(texts) // 2000)
+        keep = n >= 2
         yield pa.RecordBatch.from_arrays([pa.array(token[keep].view(np.int64)), pa.array(n[keep].astype(np.int64))], ["token", "n"])
 
 
-def frequent_shingles(docs: DataFrame, most: int = 100_000) -> np.ndarray:
+def frequent_shingles(docs: DataFrame, most: int = 1_000_000) -> np.ndarray:
     """At most ``most`` shingles that many documents share, the most frequent last.
 
-    They only shape the token orders (frequent shingles last), never what is found; the bound
-    keeps what is broadcast small at any size.
+    Counted are shingles that come twice in one task. They only shape the token orders (frequent
+    shingles last), never what is found; the bound keeps what is broadcast small at any size: of
+    the counts from 2 up, the least is taken from which on no more than ``most`` are there.
     """
-    rows = (
-        docs.select("text").mapInArrow(_frequent, "token long, n long")
-        .groupBy("token").agg(F.sum("n").alias("n")).where("n >= 8")
-        .orderBy(F.col("n").desc(), "token").limit(most).toArrow()
-    )
-    return rows.column("token").to_numpy().view(np.uint64)[::-1].copy()
+    counts = checkpoint(docs.select("text").mapInArrow(_frequent, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")))
+    sizes = counts.groupBy(F.least("n", F.lit(100_000)).alias("n")).count().orderBy(F.col("n").desc()).collect()
+    least, total = 1 << 62, 0
+    for r in sizes:
+        total += r["count"]
+        if total > most:
+            break
+        least = r["n"]
+    rows = counts.where(F.col("n") >= least).toArrow()
+    token, n = rows.column("token").to_numpy(), rows.column("n").to_numpy()
+    return token[np.lexsort((token, n))].view(np.uint64).copy()
 
 
 def _prefix_length(n: np.ndarray) -> np.ndarray:
@@ -192,6 +199,26 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.where("100 * common >= 80 * (size(ta) + size(tb) - common)").select("a", "b").distinct()
 
 
+def _stars(own: DataFrame, joined: DataFrame | None, keys: int) -> DataFrame:
+    """Pairs of a class and the first class of the same min-hash, over the first ``keys`` min-hashes.
+
+    Only pairs of different components so far, of sizes that may link, and of sketches that
+    agree in four of twelve places (linked ones agree in nearly ten on average).
+    """
+    rows = own.select("doc_id", "n_shingles", "sketch")
+    if joined is None:
+        rows = rows.withColumn("comp", F.col("doc_id"))
+    else:
+        rows = rows.join(joined, rows.doc_id == joined.node, "left").select("doc_id", "n_shingles", "sketch", F.coalesce("component", "doc_id").alias("comp"))
+    flat = rows.select("doc_id", "n_shingles", "comp", "sketch", F.posexplode(F.slice("sketch", 1, keys)).alias("k", "low"))
+    top = flat.groupBy("k", "low").agg(F.min(F.struct("comp", "doc_id", "n_shingles", "sketch")).alias("top"), F.max("comp").alias("last")).where("top.comp < last")
+    alike = F.size(F.filter(F.zip_with("sketch", "top.sketch", lambda x, y: x == y), lambda x: x))
+    return (
+        flat.join(top, ["k", "low"]).where("comp <> top.comp and 5 * least(n_shingles, top.n_shingles) >= 4 * greatest(n_shingles, top.n_shingles)")
+        .where(alike >= 4).select(F.col("top.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
+    )
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, class_id, component_id, n_links) for each document number.
 
@@ -203,9 +230,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     nothing. Rows with a null number are left out; repeated rows of a number count once, and
     where a number bears several texts one of them (the greatest) stands for it.
 
-    1. Documents of equal set become one class. 2. Each class is compared with the smallest class
-    of the same min-hash (four of them), which connects large groups of near copies with few
-    comparisons. 3. Classes of different components are candidates if they share a prefix
+    1. Documents of equal set become one class. 2. Each class is compared with the first class
+    of the same min-hash (four of them, then twelve for what is not yet in that component), which
+    connects large groups of near copies with few comparisons. 3. Classes of different components are candidates if they share a prefix
     token under the first order; the prefixes under the second and third order must meet as
     well; what passes all three filters is verified on the whole sets.
     """
@@ -222,14 +249,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     # one row for each class, with its sketch and prefix
     own = marked.join(leaders, F.expr("doc_id = leader and s1 = l1 and s2 = l2"), "left_semi")
 
-    keys = own.select("doc_id", "n_shingles", F.posexplode("sketch").alias("k", "low"))
-    star = keys.groupBy("k", "low").agg(F.min(F.struct("doc_id", "n_shingles")).alias("top"), F.count("*").alias("n")).where("n > 1")
-    near = (
-        keys.join(star, ["k", "low"]).where("doc_id <> top.doc_id and 5 * least(n_shingles, top.n_shingles) >= 4 * greatest(n_shingles, top.n_shingles)")
-        .select(F.col("top.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
-    )
-    easy = checkpoint(verified(rows, checkpoint(near)))
-    joined = checkpoint(connected_components(easy))
+    easy, joined = None, None
+    for keys in (FIRST_KEYS, SKETCH):
+        near = checkpoint(_stars(own, joined, keys))
+        more = checkpoint(verified(rows, near))
+        easy = more if easy is None else easy.unionByName(more)
+        joined = checkpoint(connected_components(easy))
 
     placed = own.join(joined, own.doc_id == joined.node, "left").select("doc_id", F.coalesce("component", "doc_id").alias("comp"), "n_shingles", "prefix")
     posting = placed.select("doc_id", "comp", "n_shingles", F.posexplode("prefix").alias("at", "token")).select(
