@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tapeworks.functions.state import checkpoint
 from tapeworks.llm.hashing import PrefixHash, chunks, mix
 
-SEED = 40  # bytes of an anchor
+SEED = 32  # bytes of an anchor
 
 
 def _encode(texts) -> list[bytes]:
@@ -139,7 +139,9 @@ def _cells(width: int):
                 u = b.slices(s, s + count + width - 1)
                 known = np.ones(len(s), bool)
                 known[_first_of(k, u)] = False
-                yield pd.DataFrame({"k": k.view(np.int64), "u": u.view(np.int64), "doc_id": ids[i:j][d], "start": s - b.first[d], "n": count, "known": known})
+                # 56 bits of the run's hash with the number of its windows, negative if known
+                run = ((u >> np.uint64(8)).view(np.int64) << 7 | count) * np.where(known, -1, 1)
+                yield pd.DataFrame({"k": k.view(np.int64), "run": run, "doc_id": ids[i:j][d], "start": (s - b.first[d]).astype(np.int32)})
 
     return rows
 
@@ -155,6 +157,16 @@ def _first_of(*keys: np.ndarray):
     return first
 
 
+def _repeated(h: np.ndarray) -> np.ndarray:
+    """Where a value comes more than once."""
+    order = np.argsort(h, kind="stable")
+    same = h[order][1:] == h[order][:-1]
+    out = np.zeros(len(h), bool)
+    out[order[1:][same]] = True
+    out[order[:-1][same]] = True
+    return out
+
+
 def _windows(width: int):
     """Single windows of the open runs; those that repeat an earlier one of the same task are settled here.
 
@@ -174,15 +186,22 @@ def _windows(width: int):
                     for x, (s, n) in enumerate(cells[i:j])
                 ]))
                 h = b.slices(at, at + width)
-                ranked = b.sort(at, width)
-                equal = np.flatnonzero(b.common(ranked[:-1], ranked[1:], width) >= width)
-                equal = equal[b.same(ranked[equal], ranked[equal + 1], width)]
+                # only windows whose hash comes twice can be equal; these are sorted
                 known = np.zeros(len(at), bool)
-                # the sort is stable, so the first of equal suffixes is the earliest
-                known[np.searchsorted(at, ranked[equal + 1])] = True
+                often = at[_repeated(h)]
+                if len(often):
+                    ranked = b.sort(often, width)
+                    equal = np.flatnonzero(b.common(ranked[:-1], ranked[1:], width) >= width)
+                    equal = equal[b.same(ranked[equal], ranked[equal + 1], width)]
+                    # the sort is stable, so the first of equal suffixes is the earliest
+                    known[np.searchsorted(at, ranked[equal + 1])] = True
                 doc = np.searchsorted(b.first, at, side="right") - 1
                 second = mix(h ^ b.slices(at, at + width // 2))
-                yield pd.DataFrame({"w": h.view(np.int64), "v": second.view(np.int64), "doc_id": ids[i:j][doc], "start": at - b.first[doc], "known": known})
+                start = at - b.first[doc]
+                # a settled window travels under a key of its own
+                key = np.where(known, mix(h ^ mix(at.astype(np.uint64) + np.uint64(i))), h)
+                more = ((second >> np.uint64(33)) << np.uint64(32)).view(np.int64) | start
+                yield pd.DataFrame({"w": key.view(np.int64), "more": np.where(known, -1 - start, more), "doc_id": ids[i:j][doc]})
 
     return rows
 
@@ -196,26 +215,23 @@ def repeated_windows(docs: DataFrame, width: int = 100) -> DataFrame:
     are left (the seams of repeated passages) are suffix-sorted within tasks and their
     survivors matched over the corpus.
     """
-    cells = docs.select("doc_id", "text").mapInPandas(_cells(width), "k long, u long, doc_id long, start long, n long, known boolean")
-    cells = cells.select("k", "u", "doc_id", "start", F.expr("if(known, -n, n)").cast("int").alias("n"))
+    cells = docs.select("doc_id", "text").mapInPandas(_cells(width), "k long, run long, doc_id long, start int")
     of_anchor = Window.partitionBy("k")
     of_run = Window.partitionBy("k", "u").orderBy("doc_id", "start")
     again = (
-        cells.withColumn("m", F.count("*").over(of_anchor)).where("m > 1")
+        cells.withColumn("u", F.abs("run")).withColumn("m", F.count("*").over(of_anchor)).where("m > 1")
         .withColumn("at", F.rank().over(of_run)).withColumn("lo", F.min("u").over(of_anchor)).withColumn("hi", F.max("u").over(of_anchor))
     )
-    again = checkpoint(again.where("at > 1 or lo < hi").select("doc_id", "start", F.expr("abs(n)").alias("n"), (F.col("at") == 1).alias("open")))
+    n = F.expr("cast(u & 127 as int)").alias("n")
+    again = checkpoint(again.where("at > 1 or lo < hi").select("doc_id", "start", n, (F.col("at") == 1).alias("open")))
     open_runs = again.where("open").groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("r")).select(
         "doc_id", F.col("r.start").alias("starts"), F.col("r.n").alias("counts")
     )
-    windows = docs.select("doc_id", "text").join(open_runs, "doc_id").mapInPandas(
-        _windows(width), "w long, v long, doc_id long, start long, known boolean"
-    )
-    windows = checkpoint(windows)
-    first = Window.partitionBy("w", "v").orderBy("doc_id", "start")
-    late = windows.where("not known").withColumn("at", F.rank().over(first)).where("at > 1")
-    single = late.select("doc_id", "start").unionByName(windows.where("known").select("doc_id", "start"))
-    return again.where("not open").select("doc_id", "start", "n").unionByName(single.select("doc_id", "start", F.lit(1).alias("n")))
+    windows = docs.select("doc_id", "text").join(open_runs, "doc_id").mapInPandas(_windows(width), "w long, more long, doc_id long")
+    first = Window.partitionBy("w", F.expr("more >> 32")).orderBy("doc_id", "more")
+    late = windows.withColumn("at", F.rank().over(first)).where("more < 0 or at > 1")
+    start = F.expr("cast(if(more < 0, -1 - more, more & 4294967295) as int)").alias("start")
+    return again.where("not open").select("doc_id", "start", "n").unionByName(late.select("doc_id", start, F.lit(1).alias("n")))
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 100) -> DataFrame:
