@@ -108,7 +108,7 @@ def test_mixing(spark, docs, empty):
 
 
 def test_personal(spark, empty):
-    t = "x a.b@c.de y +1 (499) 555-6503 z 10.0.0.256 10.0.0.1 4111 1111 1111 1111 é@ü"
+    t = "x a.b@c.de y +1 (499) 555-6503 z 10.0.0.256 10.0.0.1 n 4111 1111 1111 1111 é@ü"
     rows = spark.createDataFrame([(1, t), (2, None), (3, "")], "doc_id long, text string")
     got = {r["doc_id"]: r["spans"] for r in personal_data.personal_spans(rows, None).select("doc_id", personal_data.joined("spans").alias("spans")).collect()}
     at = lambda k, s: f"{k}:{t.index(s)}:{t.index(s) + len(s)}"
