@@ -13,7 +13,8 @@ from tapeworks.operators.components import connected_components
 
 ORDERS = 3
 SKETCH = 12
-FIRST_KEYS = 4
+STARS = (4, SKETCH, SKETCH)  # min-hashes compared in each star round
+WORDS = 4  # 64-bit words of a parity bitmap
 FILTER_BITS = 1 << 24
 
 
@@ -65,6 +66,25 @@ def _index_length(n: np.ndarray) -> np.ndarray:
     return n - (8 * n + 8) // 9 + 1
 
 
+def _parities(first: np.ndarray, has: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """For each set, the parity of its tokens that fall on each of 256 bits.
+
+    Two bitmaps differ in no more bits than the sets differ in tokens.
+    """
+    out = np.zeros((len(has), WORDS), np.uint64)
+    if len(h):
+        bit = mix(h ^ np.uint64(0x2545F4914F6CDD1D))
+        word, one = (bit >> np.uint64(6)) & np.uint64(WORDS - 1), np.uint64(1) << (bit & np.uint64(63))
+        for k in range(WORDS):
+            out[has, k] = np.bitwise_xor.reduceat(np.where(word == k, one, np.uint64(0)), first[has])
+    return out
+
+
+def _near(bits: str, other: str, n: str, m: str) -> str:
+    """SQL test that no linked pair fails: at 80 % in common, sets differ in at most a ninth of their sizes."""
+    return "9 * (" + " + ".join(f"bit_count({bits}[{k}] ^ {other}[{k}])" for k in range(WORDS)) + f") <= {n} + {m}"
+
+
 def _lists(values: np.ndarray, owner: np.ndarray, n_docs: int, kind) -> pa.Array:
     offsets = np.zeros(n_docs + 1, np.int32)
     np.cumsum(np.bincount(owner, minlength=n_docs), out=offsets[1:])
@@ -120,8 +140,9 @@ def _signatures(shared):
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(i, m), pa.array(n.astype(np.int64)), *(pa.array(s.view(np.int64)) for s in sums),
                      _lists(sketch[has].ravel().view(np.int64), np.repeat(np.flatnonzero(has), SKETCH), m, np.int64),
-                     _lists(token.view(np.int64), who, m, np.int64)],
-                    ["doc_id", "n_shingles", "s1", "s2", "sketch", "prefix"],
+                     _lists(token.view(np.int64), who, m, np.int64),
+                     _lists(_parities(first, has, h).ravel().view(np.int64), np.repeat(np.arange(m), WORDS), m, np.int64)],
+                    ["doc_id", "n_shingles", "s1", "s2", "sketch", "prefix", "bits"],
                 )
 
     return rows
@@ -199,23 +220,30 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.where("100 * common >= 80 * (size(ta) + size(tb) - common)").select("a", "b").distinct()
 
 
-def _stars(own: DataFrame, joined: DataFrame | None, keys: int) -> DataFrame:
-    """Pairs of a class and the first class of the same min-hash, over the first ``keys`` min-hashes.
+def _stars(own: DataFrame, joined: DataFrame | None, turn: int) -> DataFrame:
+    """Pairs of a class and one leading class of the same min-hash, over the min-hashes of this turn.
 
-    Only pairs of different components so far, of sizes that may link, and of sketches that
-    agree in four of twelve places (linked ones agree in nearly ten on average).
+    The first turn's leader is the smallest number, later ones draw it by hash, so that a class
+    meets other leaders in each turn. Only pairs of different components so far, of sizes and
+    bitmaps that may link, and of sketches that agree in four of twelve places (linked ones
+    agree in nearly ten on average).
     """
-    rows = own.select("doc_id", "n_shingles", "sketch")
+    rows = own.select("doc_id", "n_shingles", "sketch", "bits")
     if joined is None:
         rows = rows.withColumn("comp", F.col("doc_id"))
     else:
-        rows = rows.join(joined, rows.doc_id == joined.node, "left").select("doc_id", "n_shingles", "sketch", F.coalesce("component", "doc_id").alias("comp"))
-    flat = rows.select("doc_id", "n_shingles", "comp", "sketch", F.posexplode(F.slice("sketch", 1, keys)).alias("k", "low"))
-    top = flat.groupBy("k", "low").agg(F.min(F.struct("comp", "doc_id", "n_shingles", "sketch")).alias("top"), F.max("comp").alias("last")).where("top.comp < last")
+        rows = rows.join(joined, rows.doc_id == joined.node, "left").select("doc_id", "n_shingles", "sketch", "bits", F.coalesce("component", "doc_id").alias("comp"))
+    flat = rows.select("doc_id", "n_shingles", "comp", "sketch", "bits", F.posexplode(F.slice("sketch", 1, STARS[turn])).alias("k", "low"))
+    lead = F.xxhash64("doc_id", "k", F.lit(turn)) if turn else F.col("doc_id")
+    top = (
+        flat.groupBy("k", "low").agg(F.min(F.struct(lead.alias("lead"), "comp", "doc_id", "n_shingles", "sketch", "bits")).alias("top"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+        .where("lo < hi")
+    )
     alike = F.size(F.filter(F.zip_with("sketch", "top.sketch", lambda x, y: x == y), lambda x: x))
     return (
         flat.join(top, ["k", "low"]).where("comp <> top.comp and 5 * least(n_shingles, top.n_shingles) >= 4 * greatest(n_shingles, top.n_shingles)")
-        .where(alike >= 4).select(F.col("top.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
+        .where(_near("bits", "top.bits", "n_shingles", "top.n_shingles")).where(alike >= 4)
+        .select(F.least("top.doc_id", "doc_id").alias("a"), F.greatest("top.doc_id", "doc_id").alias("b")).distinct()
     )
 
 
@@ -231,15 +259,17 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     where a number bears several texts one of them (the greatest) stands for it.
 
     1. Documents of equal set become one class. 2. Each class is compared with the first class
-    of the same min-hash (four of them, then twelve for what is not yet in that component), which
-    connects large groups of near copies with few comparisons. 3. Classes of different components are candidates if they share a prefix
-    token under the first order; the prefixes under the second and third order must meet as
-    well; what passes all three filters is verified on the whole sets.
+    of the same min-hash (four of them, then twice drawn ones of twelve for what is not yet in that
+    component), which connects large groups of near copies with few comparisons. 3. Classes of
+    different components are candidates if they share a prefix token under the first order, early
+    enough for the rest to hold the needed tokens, and their parity bitmaps allow a link; the
+    prefixes under the second and third order must meet as well; what passes all filters is
+    verified on the whole sets.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
     sc = docs.sparkSession.sparkContext
     heavy = sc.broadcast(frequent_shingles(rows))
-    schema = "doc_id long, n_shingles long, s1 long, s2 long, sketch array<long>, prefix array<long>"
+    schema = "doc_id long, n_shingles long, s1 long, s2 long, sketch array<long>, prefix array<long>, bits array<long>"
     marked = checkpoint(rows.mapInArrow(_signatures(heavy), schema))
     once = marked.groupBy("doc_id").agg(F.max(F.struct("n_shingles", "s1", "s2")).alias("s")).select("doc_id", "s.*")
     filled = once.where("n_shingles > 0")
@@ -250,8 +280,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     own = marked.join(leaders, F.expr("doc_id = leader and s1 = l1 and s2 = l2"), "left_semi")
 
     easy, joined = None, None
-    for keys in (FIRST_KEYS, SKETCH):
-        near = checkpoint(_stars(own, joined, keys))
+    for turn in range(len(STARS)):
+        near = checkpoint(_stars(own, joined, turn))
         more = checkpoint(verified(rows, near))
         easy = more if easy is None else easy.unionByName(more)
         joined = checkpoint(connected_components(easy))
@@ -259,16 +289,18 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     placed = own.join(joined, own.doc_id == joined.node, "left").select("doc_id", F.coalesce("component", "doc_id").alias("comp"), "n_shingles", "prefix")
     posting = placed.select("doc_id", "comp", "n_shingles", F.posexplode("prefix").alias("at", "token")).select(
         "token", "doc_id", "comp",
-        F.expr("n_shingles * 2 + if(at < n_shingles - (8 * n_shingles + 8) div 9 + 1, 1, 0)").alias("size"),
+        F.expr("shiftleft(n_shingles, 30) + at").alias("size"),
     )
     same = Window.partitionBy("token")
     mixed = checkpoint(
         posting.withColumn("lo", F.min("comp").over(same)).withColumn("hi", F.max("comp").over(same)).where("lo < hi")
-        .select("token", "doc_id", "comp", F.expr("size div 2").alias("n"), F.expr("size % 2 = 1").alias("index"))
+        .select("token", "doc_id", "comp", F.expr("shiftright(size, 30)").alias("n"), F.expr("size & 1073741823").alias("at"))
+        .join(own.select("doc_id", "bits"), "doc_id")
     )
-    x, y = mixed.where("index").alias("x"), mixed.alias("y")
+    may_link = "5 * x.n >= 4 * y.n and 9 * (least(x.n - x.at, y.n - y.at)) >= 4 * (x.n + y.n) and " + _near("x.bits", "y.bits", "x.n", "y.n")
+    x, y = mixed.where("at < n - (8 * n + 8) div 9 + 1").alias("x"), mixed.alias("y")
     first = (
-        x.join(y, F.expr("x.token = y.token and x.comp <> y.comp and 5 * x.n >= 4 * y.n and (x.n < y.n or (x.n = y.n and x.doc_id < y.doc_id))"))
+        x.join(y, F.expr(f"x.token = y.token and x.comp <> y.comp and (x.n < y.n or (x.n = y.n and x.doc_id < y.doc_id)) and {may_link}"))
         .select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
     )
     second = checkpoint(meeting(rows, checkpoint(first), heavy))
