@@ -198,10 +198,16 @@ def _windows(width: int):
                 doc = np.searchsorted(b.first, at, side="right") - 1
                 second = mix(h ^ b.slices(at, at + width // 2))
                 start = at - b.first[doc]
-                # a settled window travels under a key of its own
-                key = np.where(known, mix(h ^ mix(at.astype(np.uint64) + np.uint64(i))), h)
                 more = ((second >> np.uint64(33)) << np.uint64(32)).view(np.int64) | start
-                yield pd.DataFrame({"w": key.view(np.int64), "more": np.where(known, -1 - start, more), "doc_id": ids[i:j][doc]})
+                # settled windows travel as runs, each under a key of its own
+                new = known.copy()
+                new[1:] &= ~(known[:-1] & (at[1:] == at[:-1] + 1) & (doc[1:] == doc[:-1]))
+                head = np.flatnonzero(new)
+                n = np.bincount(np.cumsum(new)[known] - 1, minlength=len(head))
+                more[head] = -1 - (start[head] << 31 | n)
+                h[head] = mix(h[head] ^ mix(at[head].astype(np.uint64) + np.uint64(i)))
+                send = ~known | new
+                yield pd.DataFrame({"w": h[send].view(np.int64), "more": more[send], "doc_id": ids[i:j][doc[send]]})
 
     return rows
 
@@ -230,8 +236,9 @@ def repeated_windows(docs: DataFrame, width: int = 100) -> DataFrame:
     windows = docs.select("doc_id", "text").join(open_runs, "doc_id").mapInPandas(_windows(width), "w long, more long, doc_id long")
     first = Window.partitionBy("w", F.expr("more >> 32")).orderBy("doc_id", "more")
     late = windows.withColumn("at", F.rank().over(first)).where("more < 0 or at > 1")
-    start = F.expr("cast(if(more < 0, -1 - more, more & 4294967295) as int)").alias("start")
-    return again.where("not open").select("doc_id", "start", "n").unionByName(late.select("doc_id", start, F.lit(1).alias("n")))
+    start = F.expr("cast(if(more < 0, shiftright(-1 - more, 31), more & 4294967295) as int)").alias("start")
+    n = F.expr("cast(if(more < 0, (-1 - more) & 2147483647, 1) as int)").alias("n")
+    return again.where("not open").select("doc_id", "start", "n").unionByName(late.select("doc_id", start, n))
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 100) -> DataFrame:
