@@ -11,6 +11,8 @@ from tapeworks.functions.state import checkpoint
 from tapeworks.llm.hashing import PrefixHash, chunks, mix
 
 SEED = 32  # bytes of an anchor
+PART = 17  # windows of a grid place around an anchor
+START = "cast(shiftright(place, 7) as int) as start"
 
 
 def _encode(texts) -> list[bytes]:
@@ -114,7 +116,9 @@ def _anchors(b: Buffer, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _cells(width: int):
-    """Runs of windows with a common anchor: (anchor hash, hash of all bytes of the run, document, start, windows).
+    """Runs of windows with a common anchor: (anchor hash, hash of the run's bytes with its number of windows, document, place).
+
+    ``place`` is the run's start times 128 plus the distance from there to the anchor.
 
     Within a task, only the first of equal runs is looked up further; later ones are known to be
     repeats at once (``known``) where the first belongs to a smaller document or lies earlier.
@@ -141,7 +145,7 @@ def _cells(width: int):
                 known[_first_of(k, u)] = False
                 # 56 bits of the run's hash with the number of its windows, negative if known
                 run = ((u >> np.uint64(8)).view(np.int64) << 7 | count) * np.where(known, -1, 1)
-                yield pd.DataFrame({"k": k.view(np.int64), "run": run, "doc_id": ids[i:j][d], "start": (s - b.first[d]).astype(np.int32)})
+                yield pd.DataFrame({"k": k.view(np.int64), "run": run, "doc_id": ids[i:j][d], "place": (s - b.first[d]) << 7 | (anchor[head] - s)})
 
     return rows
 
@@ -167,8 +171,42 @@ def _repeated(h: np.ndarray) -> np.ndarray:
     return out
 
 
+def _parts(width: int):
+    """The open runs cut at a grid of ``PART`` bytes around their anchors, each part with its bytes.
+
+    All windows of one grid place hold the bytes from its last window's start to its first
+    window's end. Equal windows lie at one grid place of equal anchors, so parts that share
+    these bytes with no other are done.
+    """
+
+    def rows(batches):
+        for pdf in batches:
+            pdf = pdf.drop_duplicates("doc_id").sort_values("doc_id")
+            ids, texts = pdf["doc_id"].to_numpy(), _encode(pdf["text"])
+            runs = [(np.asarray(p, np.int64), np.asarray(n, np.int64)) for p, n in zip(pdf["places"], pdf["counts"])]
+            for i, j in chunks(texts):
+                b = Buffer(texts[i:j])
+                d = np.repeat(np.arange(j - i), [len(p) for p, _ in runs[i:j]])
+                place, n = (np.concatenate([r[k] for r in runs[i:j]]) for k in (0, 1))
+                # distances of the run's first and last window to the anchor, and their grid places
+                far = place & 127
+                near = far - n + 1
+                times = far // PART - near // PART + 1
+                own = np.repeat(np.arange(len(n)), times)
+                grid = (far // PART)[own] - (np.arange(len(own)) - np.repeat(np.cumsum(times) - times, times))
+                first, last = np.minimum(far[own], grid * PART + PART - 1), np.maximum(near[own], grid * PART)
+                d, anchor = d[own], ((place >> 7) + far)[own] + b.first[d[own]]
+                s, z = anchor - first, anchor - last + width
+                k = mix(b.slices(anchor - grid * PART, anchor - grid * PART - PART + 1 + width) ^ mix(grid.astype(np.uint64) + np.uint64(1)))
+                run = (b.slices(s, z) >> np.uint64(8)).view(np.int64) << 7 | (first - last + 1)
+                raw = b.buf.tobytes()
+                yield pd.DataFrame({"k": k.view(np.int64), "run": run, "doc_id": ids[i:j][d], "place": (s - b.first[d]) << 7, "piece": [raw[x:y] for x, y in zip(s, z)]})
+
+    return rows
+
+
 def _windows(width: int):
-    """Single windows of the open runs; those that repeat an earlier one of the same task are settled here.
+    """Single windows of the open parts; those that repeat an earlier one of the same batch are settled here.
 
     The suffixes at the windows are sorted with hash-compared merging; neighbours in the sorted
     order that agree in ``width`` bytes (and are then compared byte by byte) are equal windows.
@@ -176,15 +214,11 @@ def _windows(width: int):
 
     def rows(batches):
         for pdf in batches:
-            pdf = pdf.drop_duplicates("doc_id").sort_values("doc_id")
-            ids, texts = pdf["doc_id"].to_numpy(), _encode(pdf["text"])
-            cells = [(np.asarray(s, np.int64), np.asarray(n, np.int64)) for s, n in zip(pdf["starts"], pdf["counts"])]
+            pdf = pdf.sort_values(["doc_id", "start"])
+            ids, begins, texts = pdf["doc_id"].to_numpy(), pdf["start"].to_numpy(), pdf["piece"].tolist()
             for i, j in chunks(texts):
                 b = Buffer(texts[i:j])
-                at = np.sort(np.concatenate([
-                    np.repeat(s + b.first[x], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                    for x, (s, n) in enumerate(cells[i:j])
-                ]))
+                at = b.window_starts(width)
                 h = b.slices(at, at + width)
                 # only windows whose hash comes twice can be equal; these are sorted
                 known = np.zeros(len(at), bool)
@@ -197,7 +231,7 @@ def _windows(width: int):
                     known[np.searchsorted(at, ranked[equal + 1])] = True
                 doc = np.searchsorted(b.first, at, side="right") - 1
                 second = mix(h ^ b.slices(at, at + width // 2))
-                start = at - b.first[doc]
+                start = at - b.first[doc] + begins[i:j][doc]
                 more = ((second >> np.uint64(33)) << np.uint64(32)).view(np.int64) | start
                 # settled windows travel as runs, each under a key of its own
                 new = known.copy()
@@ -212,33 +246,46 @@ def _windows(width: int):
     return rows
 
 
+def _sifted(cells: DataFrame) -> DataFrame:
+    """(doc_id, place, n, open, ...): runs that share their key; ``open`` is false where an equal run is earlier.
+
+    Left out are runs alone with their key and the first of runs that are all equal: nothing
+    earlier can repeat them.
+    """
+    of_key = Window.partitionBy("k")
+    of_run = Window.partitionBy("k", "u").orderBy("doc_id", "place")
+    rows = (
+        cells.withColumn("u", F.abs("run")).withColumn("m", F.count("*").over(of_key)).where("m > 1")
+        .withColumn("at", F.rank().over(of_run)).withColumn("lo", F.min("u").over(of_key)).withColumn("hi", F.max("u").over(of_key))
+        .where("at > 1 or lo < hi")
+    )
+    more = [F.expr("if(at = 1, piece, null) as piece")] if "piece" in cells.columns else []
+    return checkpoint(rows.select("doc_id", "place", F.expr("cast(u & 127 as int) as n"), F.expr("at = 1 as open"), *more))
+
+
 def repeated_windows(docs: DataFrame, width: int = 100) -> DataFrame:
     """(doc_id, start, n): runs of n windows (strings of ``width`` bytes) that occur earlier too.
 
     Expects (doc_id, text) with one text for each number. 1. Windows are
     grouped in runs with a common anchor; only runs whose anchor occurs twice go on. 2. A run
-    whose whole string equals that of an earlier run repeats it. 3. The windows of the runs that
-    are left (the seams of repeated passages) are suffix-sorted within tasks and their
-    survivors matched over the corpus.
+    whose whole string equals that of an earlier run repeats it. 3. The runs that are left (the
+    seams of repeated passages) are cut at a grid and sifted in the same way. 4. The windows of
+    what is left then are suffix-sorted within tasks and their survivors matched over the corpus.
     """
-    cells = docs.select("doc_id", "text").mapInPandas(_cells(width), "k long, run long, doc_id long, start int")
-    of_anchor = Window.partitionBy("k")
-    of_run = Window.partitionBy("k", "u").orderBy("doc_id", "start")
-    again = (
-        cells.withColumn("u", F.abs("run")).withColumn("m", F.count("*").over(of_anchor)).where("m > 1")
-        .withColumn("at", F.rank().over(of_run)).withColumn("lo", F.min("u").over(of_anchor)).withColumn("hi", F.max("u").over(of_anchor))
-    )
-    n = F.expr("cast(u & 127 as int)").alias("n")
-    again = checkpoint(again.where("at > 1 or lo < hi").select("doc_id", "start", n, (F.col("at") == 1).alias("open")))
-    open_runs = again.where("open").groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("r")).select(
-        "doc_id", F.col("r.start").alias("starts"), F.col("r.n").alias("counts")
+    cells = docs.select("doc_id", "text").mapInPandas(_cells(width), "k long, run long, doc_id long, place long")
+    again = _sifted(cells)
+    runs = again.where("open").groupBy("doc_id").agg(F.collect_list(F.struct("place", "n")).alias("r")).select(
+        "doc_id", F.col("r.place").alias("places"), F.col("r.n").alias("counts")
     )
-    windows = docs.select("doc_id", "text").join(open_runs, "doc_id").mapInPandas(_windows(width), "w long, more long, doc_id long")
+    parts = docs.select("doc_id", "text").join(runs, "doc_id").mapInPandas(_parts(width), "k long, run long, doc_id long, place long, piece binary")
+    again2 = _sifted(parts)
+    windows = again2.where("open").select("doc_id", F.expr(START), "piece").mapInPandas(_windows(width), "w long, more long, doc_id long")
     first = Window.partitionBy("w", F.expr("more >> 32")).orderBy("doc_id", "more")
     late = windows.withColumn("at", F.rank().over(first)).where("more < 0 or at > 1")
     start = F.expr("cast(if(more < 0, shiftright(-1 - more, 31), more & 4294967295) as int)").alias("start")
     n = F.expr("cast(if(more < 0, (-1 - more) & 2147483647, 1) as int)").alias("n")
-    return again.where("not open").select("doc_id", "start", "n").unionByName(late.select("doc_id", start, n))
+    settled = again.where("not open").select("doc_id", "place", "n").unionByName(again2.where("not open").select("doc_id", "place", "n"))
+    return settled.select("doc_id", F.expr(START), "n").unionByName(late.select("doc_id", start, n))
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 100) -> DataFrame:
