@@ -6,15 +6,26 @@ import tempfile
 
 from pyspark.sql import DataFrame
 
+#: Spark setting under which the shuffle files of an action go when the action ends.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def checkpoint(df: DataFrame) -> DataFrame:
     """Write ``df`` to the session's checkpoint folder and read it back from there.
 
     The folder is the one named in ``spark.checkpoint.dir``; only a session without that
-    setting (a test) gets a temporary folder of its own.
+    setting (a test) gets a temporary folder of its own. Once the rows are written, the shuffle
+    files that led to them are of no more use and are freed at once instead of at the driver's
+    next garbage collection.
     """
-    sc = df.sparkSession.sparkContext
+    spark = df.sparkSession
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint(eager=True)
+    before = spark.conf.get(FREE_SHUFFLES, "false")
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)  # the setting holds for frames made under it
+    finally:
+        spark.conf.set(FREE_SHUFFLES, before)
