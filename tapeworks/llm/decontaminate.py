@@ -15,6 +15,7 @@ UNITS = [
 ]
 TOKEN = r"\p{N}++(?:[.,]\p{N}++)*+|\p{L}[\p{L}\p{M}]*+"
 NUMBER, NAME, UNIT = "<number>", "<name>", "<unit>"
+SHORTEST = 4  # tokens of a whole item that is joined by its template
 
 
 def tokens(text: Column) -> Column:
@@ -47,8 +48,33 @@ def template(words: Column) -> Column:
     return _once(words, of)
 
 
-def _literals(window: Column) -> Column:
-    return F.size(F.filter(window, lambda w: ~F.startswith(w, F.lit("<"))))
+def _plain(w: Column) -> Column:
+    return ~F.startswith(w, F.lit("<"))
+
+
+def folded(words: Column) -> Column:
+    """The template with runs of one placeholder as one: structs of the token and its first word's place."""
+
+    def of(t: Column) -> Column:
+        again = lambda w, i: F.when(i > 0, F.startswith(w, F.lit("<")) & (F.get(t, i - 1) == w)).otherwise(False)
+        marked = F.transform(t, lambda w, i: F.when(~again(w, i), F.struct(w.alias("w"), i.alias("at"))))
+        return F.filter(marked, lambda z: z.isNotNull())
+
+    return _once(template(words), of)
+
+
+def _values(words: Column, f: Column) -> Column:
+    """The words of each folded token, in small letters."""
+    end = lambda k: F.coalesce(F.get(f["at"], k + 1), F.size(words))
+    return F.transform(f, lambda z, k: F.lower(F.array_join(F.slice(words, z["at"] + 1, end(k) - z["at"]), " ")))
+
+
+def _windows(x: Column, width: int, keep=None) -> Column:
+    """(start, key) of every window of ``width`` elements that ``keep`` holds for."""
+    cut = lambda i: F.slice(x, i + 1, width)
+    at = F.when(F.size(x) >= width, F.sequence(F.lit(0), F.size(x) - width)).otherwise(F.array().cast("array<int>"))
+    at = at if keep is None else F.filter(at, lambda i: keep(cut(i)))
+    return F.transform(at, lambda i: F.struct(i.alias("start"), F.xxhash64(F.lit(width), cut(i)).alias("key")))
 
 
 def _small(df: DataFrame, most: int) -> bool:
@@ -62,69 +88,132 @@ def contaminated(
     """(doc_id, item_id, start, n_matched, coverage, n_slots, n_changed): benchmark items found in documents.
 
     Documents and items are cut into words, and words become a template: numbers, names and
-    units turn into typed placeholders, other words stay. Each document's consecutive blocks of
-    ``width`` template words are hash-joined with all windows of the items, so a passage of
-    2 x ``width`` - 1 words is always met. Each meeting fixes an alignment; over the whole item
-    the aligned templates are compared and the item counts as found if ``coverage`` of its words
-    agree. The slots must agree as well: a value of the item stands for one value of the
-    document and back, but for a share of ``max_clashes`` of the pairs. ``n_changed`` counts slots with
+    units turn into typed placeholders, a run of one placeholder into one token, other words stay.
+    Every window of ``width`` template tokens of a document is hash-joined with all windows of the
+    items; an item of fewer tokens (four at least) is joined as one window of its own length. Each
+    meeting fixes an alignment. Alignments of a pair that lie no further apart than the item is
+    long are joined into the longest chain of agreeing tokens in the order of both texts, so words put in or left
+    out do not split an item. It counts as found if ``coverage`` of its tokens agree and
+    ``min_literals`` of them in their very words. The slots must agree as well: a value of the
+    item stands for one value of the document and back, but for a share of ``max_clashes`` of the
+    pairs. ``start`` is the word of the document at which the item begins; ``n_changed`` counts slots with
     another value, so a re-parameterised question shows as found with n_changed > 0.
 
-    Windows of fewer than ``min_literals`` plain words prove nothing and are not joined. Items
-    shorter than ``width`` words are matched as one window of their own length only where that
-    is reached by no block, so they are not searched; null and empty texts hold and match
-    nothing. Rows with a null number are left out; repeated rows give one result. The item windows
-    are broadcast only if they are counted to be ``broadcast_rows`` at most.
+    A window without a plain word tells nothing apart and is not joined. Items without any window
+    to join (under four tokens, or placeholders only) are found where all their words stand in a
+    row, capitals aside. Null and empty texts hold and match nothing. Rows with a null number are
+    left out; repeated rows give one result. The item windows are broadcast only if they are
+    counted to be ``broadcast_rows`` at most.
     """
-    items = benchmark.select(F.col(item_id).alias("item_id"), tokens(F.col(text)).alias("item_words")).where("item_id is not null")
-    items = items.select("item_id", "item_words", template(F.col("item_words")).alias("item_template")).where(F.size("item_words") >= width)
-    step = F.sequence(F.lit(0), F.size("item_template") - width)
-    windows = (
-        items.select("item_id", F.explode(F.transform(step, lambda i: F.struct(i.alias("offset"), F.slice("item_template", i + 1, width).alias("w")))).alias("x"))
-        .where(_literals(F.col("x.w")) >= min_literals)
-        .select("item_id", "x.offset", F.xxhash64("x.w").alias("key")).distinct()
-    )
-    windows = checkpoint(windows)
+    items = benchmark.select(F.col(item_id).alias("item_id"), tokens(F.col(text)).alias("item_words")).where("item_id is not null").where(F.size("item_words") > 0)
+    items = items.select("item_id", "item_words", folded(F.col("item_words")).alias("f"))
+    items = checkpoint(items.select("item_id", "item_words", F.col("f.w").alias("a"), _values(F.col("item_words"), F.col("f")).alias("x")).distinct())
+    shape = F.least(F.size("a"), F.lit(width))
+    tall = sorted(r["w"] for r in items.where(F.size("a") >= min(SHORTEST, width)).select(shape.alias("w")).distinct().collect())
+    parts = [items.where(shape == w).select("item_id", F.inline(_windows(F.col("a"), w, lambda c: F.exists(c, _plain)))) for w in tall]
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
-    none = F.array().cast("array<struct<start:int,key:bigint>>")
+    windows = items.select("item_id", F.lit(0).alias("start"), F.lit(0).cast("long").alias("key")).limit(0)
+    for part in parts:
+        windows = windows.unionByName(part)
+    windows = checkpoint(windows.select("item_id", F.col("start").alias("offset"), "key").distinct())
+    joined = windows.select("item_id").distinct()
+    bare = checkpoint(items.join(joined, "item_id", "left_anti").select("item_id", F.transform("item_words", F.lower).alias("item_words")))
+    exact = sorted(r["w"] for r in bare.select(F.least(F.size("item_words"), F.lit(width)).alias("w")).distinct().collect())
+
+    found = _chained(rows, windows, items, tall, broadcast_rows, coverage, max_clashes, min_literals)
+    return found.unionByName(_verbatim(rows, bare, exact, width, broadcast_rows)) if exact else found
 
-    def keys(t: Column) -> Column:
-        at = F.sequence(F.lit(0), F.floor(F.size(t) / width).cast("int") - 1)
-        one = lambda i: F.struct((i * width).alias("start"), F.xxhash64(F.slice(t, i * width + 1, width)).alias("key"))
-        return F.when(F.size(t) >= width, F.transform(at, one)).otherwise(none)
 
-    blocks = rows.select("doc_id", F.inline(_once(template(tokens(F.col("text"))), keys)))
+def _met(rows: DataFrame, x, of, widths: list[int], windows: DataFrame, broadcast_rows: int) -> DataFrame:
+    """(doc_id, item_id, shift) where a window of a document meets one of an item."""
+    keys = rows.select("doc_id", F.inline(_once(x, lambda t: F.concat(*[of(t, w) for w in widths]))))
     near = F.broadcast(windows) if _small(windows, broadcast_rows) else windows
-    met = checkpoint(blocks.join(near, "key").select("doc_id", "item_id", (F.col("start") - F.col("offset")).alias("shift")).distinct())
+    return keys.join(near, "key").select("doc_id", "item_id", (F.col("start") - F.col("offset")).alias("shift"))
+
+
+def _held(rows: DataFrame, met: DataFrame) -> DataFrame:
     ids = met.select("doc_id").distinct()
-    found = rows.join(F.broadcast(ids) if _small(ids, broadcast_rows) else ids, "doc_id", "left_semi")
-    found = found.select("doc_id", tokens(F.col("text")).alias("words")).select("doc_id", "words", template(F.col("words")).alias("t"))
-    return _aligned(met.join(found, "doc_id").join(items, "item_id"), coverage, max_clashes)
-
-
-def _aligned(pairs: DataFrame, coverage: float, max_clashes: float) -> DataFrame:
-    low = F.greatest(F.lit(0), -F.col("shift"))
-    length = F.least(F.size("item_template") - low, F.size("t") - low - F.col("shift"))
-    cut = lambda c, at: F.slice(c, at + 1, length)
-    both = F.arrays_zip(
-        cut("item_template", low).alias("a"), cut("t", low + F.col("shift")).alias("b"),
-        cut("item_words", low).alias("x"), cut("words", low + F.col("shift")).alias("y"),
+    return rows.join(F.broadcast(ids) if _small(ids, 500_000) else ids, "doc_id", "left_semi")
+
+
+def _chained(rows, windows, items, widths, broadcast_rows, coverage, max_clashes, min_literals) -> DataFrame:
+    met = _met(rows, folded(tokens(F.col("text")))["w"], _windows, widths or [1], windows, broadcast_rows)
+    met = checkpoint(met.groupBy("doc_id", "item_id").agg(F.sort_array(F.collect_set("shift")).alias("shifts")))
+    found = _held(rows, met).select("doc_id", tokens(F.col("text")).alias("words")).select("doc_id", "words", folded(F.col("words")).alias("f"))
+    found = found.select("doc_id", F.col("f.w").alias("t"), F.col("f.at").alias("at"), _values(F.col("words"), F.col("f")).alias("y"))
+    pairs = met.join(found, "doc_id").join(items.select("item_id", "a", "x"), "item_id")
+    return _aligned(pairs, coverage, max_clashes, min_literals)
+
+
+def _verbatim(rows, bare, widths, width, broadcast_rows) -> DataFrame:
+    """Items of which no window is joined, where all their words stand in a row."""
+    shape = F.least(F.size("item_words"), F.lit(width))
+    windows = None
+    for w in widths:
+        part = bare.where(shape == w).select("item_id", F.lit(0).alias("offset"), F.xxhash64(F.lit(w), F.slice("item_words", 1, w)).alias("key"))
+        windows = part if windows is None else windows.unionByName(part)
+    words = F.transform(tokens(F.col("text")), F.lower)
+    met = checkpoint(_met(rows, words, _windows, widths, windows, broadcast_rows).distinct())
+    found = _held(rows, met).select("doc_id", words.alias("words"))
+    n = F.size("item_words")
+    same = met.join(found, "doc_id").join(bare, "item_id").where(F.slice("words", F.col("shift") + 1, n) == F.col("item_words"))
+    return same.groupBy("doc_id", "item_id").agg(
+        F.min("shift").cast("long").alias("start"), F.max(n).cast("long").alias("n_matched"), F.lit(1.0).alias("coverage"),
+        F.lit(0).cast("long").alias("n_slots"), F.lit(0).cast("long").alias("n_changed"),
     )
-    equal = F.filter(both, lambda z: z["a"] == z["b"])
+
+
+def _chain(points: Column) -> Column:
+    """The longest chain of (i, j) that rises in both; ``points`` are in order of i, then j."""
+    kind = "struct<n:int,last:int,chain:array<struct<i:int,j:int>>>"
+    none = F.struct(F.lit(0).alias("n"), F.lit(0).alias("last"), F.array().cast("array<struct<i:int,j:int>>").alias("chain"))
+
+    def add(got: Column, z: Column) -> Column:
+        before = F.filter(got, lambda g: (F.get(g["chain"], g["n"] - 1)["i"] < z["i"]) & (-g["last"] < z["j"]))
+        best = F.coalesce(F.array_max(before), none.cast(kind))
+        longer = lambda b: F.struct((b["n"] + 1).alias("n"), (-z["j"]).alias("last"), F.concat(b["chain"], F.array(z)).alias("chain"))
+        return F.concat(got, F.array(_once(best, longer).cast(kind)))
+
+    return F.aggregate(points, F.array().cast(f"array<{kind}>"), add, lambda got: F.coalesce(F.array_max(got), none.cast(kind))["chain"])
+
+
+def _aligned(pairs: DataFrame, coverage: float, max_clashes: float, min_literals: int) -> DataFrame:
+    n = F.size("a")
+    lines = pairs.select("*", F.explode("shifts").alias("shift")).withColumn("near", F.filter("shifts", lambda s: F.abs(s - F.col("shift")) <= n))
+    fits = lambda i: F.filter("near", lambda s: F.get("t", i + s) == F.get("a", i))
+    points = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.transform(fits(i), lambda s: F.struct(i.alias("i"), (i + s).alias("j")))))
+    lines = lines.withColumn("points", points)
+    lines = lines.withColumn("chain", F.when(F.size("near") == 1, F.col("points")).otherwise(_chain(F.col("points"))))
+
+    # at the item's ends a run of one placeholder may hold words of the document around it
+    def other(z: Column) -> Column:
+        x, y = F.get("x", z["i"]), F.get("y", z["j"])
+        more = ((z["i"] == 0) & F.endswith(y, F.concat(F.lit(" "), x))) | ((z["i"] == n - 1) & F.startswith(y, F.concat(x, F.lit(" "))))
+        return F.when(more, x).otherwise(y)
+
+    both = F.transform("chain", lambda z: F.struct(F.get("a", z["i"]).alias("a"), F.get("x", z["i"]).alias("x"), other(z).alias("y")))
+    lines = lines.withColumn("both", both)
     slot = F.transform(
-        F.filter(equal, lambda z: F.startswith(z["a"], F.lit("<"))),
-        lambda z: F.struct(F.concat_ws(" ", z["a"], F.lower(z["x"])).alias("x"), F.concat_ws(" ", z["a"], F.lower(z["y"])).alias("y")),
+        F.filter("both", lambda z: ~_plain(z["a"])),
+        lambda z: F.struct(F.concat_ws(" ", z["a"], z["x"]).alias("x"), F.concat_ws(" ", z["a"], z["y"]).alias("y")),
     )
-    got = pairs.select("doc_id", "item_id", "shift", F.size("item_template").alias("n"), equal.alias("equal"), slot.alias("slot")).select(
-        "doc_id", "item_id", (F.greatest(F.col("shift"), F.lit(0))).cast("long").alias("start"),
-        F.size("equal").cast("long").alias("n_matched"), (F.size("equal") / F.col("n")).alias("coverage"),
+    head = F.get("chain", F.lit(0))
+    begin = F.greatest(head["j"] - head["i"], F.lit(0))
+    before = F.get("y", begin)
+    lead = F.when((head["i"] == 0) & F.endswith(before, F.concat(F.lit(" "), F.get("x", F.lit(0)))), F.size(F.split(before, " ")) - F.size(F.split(F.get("x", F.lit(0)), " "))).otherwise(0)
+    got = lines.select(
+        "doc_id", "item_id", (F.get("at", begin) + lead).cast("long").alias("start"), n.alias("n"), "both", slot.alias("slot"),
+    ).select(
+        "doc_id", "item_id", "start",
+        F.size("both").cast("long").alias("n_matched"), (F.size("both") / F.col("n")).alias("coverage"),
+        F.size(F.filter("both", lambda z: z["x"] == z["y"])).alias("same"), "n",
         F.size("slot").cast("long").alias("n_slots"),
         F.size(F.filter("slot", lambda s: s["x"] != s["y"])).cast("long").alias("n_changed"),
         F.size(F.array_distinct("slot")).alias("p"),
         F.size(F.array_distinct(F.transform("slot", lambda s: s["x"]))).alias("px"),
         F.size(F.array_distinct(F.transform("slot", lambda s: s["y"]))).alias("py"),
     )
-    good = got.where((F.col("coverage") >= coverage) & (F.col("p") - F.least("px", "py") <= max_clashes * F.col("p")))
+    good = got.where((F.col("coverage") >= coverage) & (F.col("same") >= min_literals) & (F.col("p") - F.least("px", "py") <= max_clashes * F.col("p")))
     names = ["n_matched", "coverage", "start", "n_slots", "n_changed"]
     best = good.groupBy("doc_id", "item_id").agg(F.max(F.struct(*names)).alias("b"))
     return best.select("doc_id", "item_id", "b.start", "b.n_matched", "b.coverage", "b.n_slots", "b.n_changed")

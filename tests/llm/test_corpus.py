@@ -98,6 +98,23 @@ def test_decontaminate(spark, docs, empty):
     assert decontaminate.drop_contaminated(docs, bench).count() == docs.count()
 
 
+def test_decontaminate_short_edited_and_numeric(spark):
+    long = "a farmer sells {} boxes of ripe fruit at the market and {} counts every coin before going back home by the old river road"
+    items = ["the quick fox jumps over lazy dogs", "two plus two is four", "Convert 12 km to 3 miles", "yes no", long.format("12", "Tom"), "Anna 12 Bob 15 Carl 17",
+             "red stones fall over quiet water near green hills while cold winds carry dry leaves beyond broken walls"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    pads = [f"{'pad ' * k}{items[0]} end" for k in range(7)]
+    texts = pads + ["so two plus two is four then", "please convert 15 km to 7 miles now", "say yes no maybe", "say yes maybe no", f"x {long.format('1 200', 'Mary Ann')} y", "in Anna 12 Bob 15 Carl 17 out",
+                    "in Anna 12 Bob 15 Carl 18 out", "oh red stones fall over quiet water near green small hills while cold winds carry dry leaves beyond broken walls"]
+    texts[8] = texts[8].replace("convert", "Convert")
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r for r in decontaminate.contaminated(rows, bench).collect()}
+    assert set(got) == {(k, 0) for k in range(7)} | {(7, 1), (8, 2), (9, 3), (11, 4), (12, 5), (14, 6)}
+    assert got[8, 2]["start"] == 1
+    assert [got[k, 0]["start"] for k in range(7)] == list(range(7))
+    assert got[14, 6]["coverage"] == 1.0 and got[14, 6]["start"] == 1 and got[8, 2]["n_changed"] == 2
+
+
 def test_mixing(spark, docs, empty):
     rows = spark.createDataFrame([(i, "a b c d", "big" if i < 80 else "small") for i in range(100)], "doc_id long, text string, source string")
     got = mixing.mix_sources(rows, entropy=0.9).collect()
