@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+import zlib
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -131,16 +132,48 @@ class Page:
         favour = {"article": 2.0, "main": 1.5, "body": 0.6}
         return {c: p * favour.get(self.tags[c], 1.0) for c, p in points.items()}
 
-    def text_of(self, wanted) -> str:
-        """The blocks inside containers for which ``wanted(index)`` holds."""
-        inside = [False] * len(self.paths)
-        for c in range(len(self.paths)):
-            inside[c] = wanted(c) or (self.parent[c] >= 0 and inside[self.parent[c]])
-        return " ".join(text for c, text, _ in self.blocks if c >= 0 and inside[c])
 
+def _units(page: Page) -> dict[str, list]:
+    """By path: plain points, length and text of all its blocks, and whether it lies right under the body.
 
-def votes_of(source: str) -> list[tuple[str, float]]:
-    """Generalised paths of a page's best containers with their share of its points."""
+    The own blocks of the body have a path of their own that ends in a slash.
+    """
+    inside: dict[str, list] = {}
+    top = lambda c: page.tags[c] != "body" and (page.parent[c] < 0 or page.tags[page.parent[c]] == "body")
+    for container, text, linked in page.blocks:
+        around, c = {}, container
+        if c >= 0 and page.tags[c] == "body":
+            around[page.paths[c] + "/"] = True
+        while c >= 0:
+            around[page.paths[c]] = top(c)
+            c = page.parent[c]
+        for path, is_top in around.items():
+            u = inside.setdefault(path, [0.0, 0, [], is_top])
+            u[0] += max(len(text) - 2.0 * linked, 0.0)
+            u[1] += len(text)
+            u[2].append(text)
+    return inside
+
+
+def _last_tag(path: str) -> str:
+    return path.rsplit("/", 1)[-1].split(".")[0]
+
+
+def _outermost(core: str, plain: list[str]) -> str:
+    """Of the plain paths around ``core`` the outermost article or main; without one, the outermost below the body."""
+    around = sorted((p for p in {core, *plain} if p == core or core.startswith(p + "/")), key=len)
+    named = [p for p in around if _last_tag(p) in ("article", "main")]
+    return (named or [p for p in around if _last_tag(p) not in ("body", "html", "")] or [core])[0]
+
+
+def _beside(outer: str, units: list[str]) -> list[str]:
+    """The units under the body that go with ``outer``: the body's own blocks, and containers where no article or main is named."""
+    named = _last_tag(outer) in ("article", "main")
+    return sorted(u for u in units if u != outer and (u[:-1] != outer if u.endswith("/") else not outer.startswith(u + "/")) and (u.endswith("/") or not named))
+
+
+def votes_of(source: str) -> list[tuple]:
+    """Generalised paths of a page's containers with their share of its best points, plain points, length, text hash, place."""
     page = Page(source)
     points = page.scores()
     if not points or max(points.values()) <= 0:
@@ -149,21 +182,30 @@ def votes_of(source: str) -> list[tuple[str, float]]:
     by_path: dict[str, float] = {}
     for c, p in points.items():
         by_path[page.paths[c]] = max(by_path.get(page.paths[c], 0.0), p / top)
-    return sorted(by_path.items(), key=lambda x: (-x[1], x[0]))[:3]
+    return [(path, by_path.get(path, 0.0), u[0], u[1], zlib.crc32(" ".join(u[2]).encode("utf-8", "replace")), u[3]) for path, u in sorted(_units(page).items())]
 
 
-def main_text(source: str, path: str | None) -> str:
-    """Text of the containers at ``path``; where the page has none, of its own best container."""
+def main_text(source: str, paths: list[str] | None) -> str:
+    """Text at ``paths``, of which the first is the article's; where the page has not that one, of its own best place."""
     page = Page(source)
-    if path is not None and path in page.paths:
-        text = page.text_of(lambda c: page.paths[c] == path)
-        if text:
-            return text
-    points = page.scores()
-    if points:
-        best = max(points, key=lambda c: (points[c], -c))
-        return page.text_of(lambda c: c == best)
-    return " ".join(text for _, text, _ in page.blocks)
+    if paths is None or paths[0] not in page.paths or not (text := _text_at(page, paths)):
+        points = page.scores()
+        if not points:
+            return " ".join(text for _, text, _ in page.blocks)
+        best = page.paths[max(points, key=lambda c: (points[c], -c))]
+        units = _units(page)
+        plain = [p for p, u in units.items() if 2 * u[0] >= u[1]]
+        outer = _outermost(best, plain)
+        text = _text_at(page, [outer, *_beside(outer, [p for p in plain if units[p][3]])])
+    return text
+
+
+def _text_at(page: Page, paths: list[str]) -> str:
+    whole, own = set(paths), {p[:-1] for p in paths if p.endswith("/")}
+    inside = [False] * len(page.paths)
+    for c in range(len(page.paths)):
+        inside[c] = page.paths[c] in whole or (page.parent[c] >= 0 and inside[page.parent[c]])
+    return " ".join(text for c, text, _ in page.blocks if c >= 0 and (inside[c] or page.paths[c] in own))
 
 
 def extract_main_text(pages: DataFrame, url: str = "url", source: str = "html", broadcast_rows: int = 100_000) -> DataFrame:
@@ -171,9 +213,13 @@ def extract_main_text(pages: DataFrame, url: str = "url", source: str = "html",
 
     Each page's containers are scored by the plain text in them (menus, headers, footers,
     sidebars, notices, adverts, forms, scripts, styles, hidden parts and reader comments left
-    out). The generalised paths (tags with their classes, digits as #) of its best three vote,
-    by their share of its points, for their host; each host's winner is where the text of its
-    pages is taken from, and a page without such a place gives its own best container. Inside,
+    out). The generalised paths (tags with their classes, digits as #) of all its containers vote,
+    by their share of its points, for their host. From each host's winner the text is widened to
+    the outermost plain article or main around it, or without one to the outermost plain
+    container below the body (plain: half of its characters count after links are taken off).
+    Blocks right in the body, and without an article or main also containers right under it, are
+    taken too if they are plain, stand on half of the winner's pages and do not say the same on
+    all of them. A page without such a place is treated by itself in the same way. Inside,
     character references are decoded, white space in a block becomes one space, and the blocks
     are joined by one space. A null or empty source gives an empty text; a page without a host
     votes with the other such pages; repeated rows are pages like any other. The winners are
@@ -186,18 +232,31 @@ def extract_main_text(pages: DataFrame, url: str = "url", source: str = "html",
 
     def vote(batches):
         for pdf in batches:
-            out = [(h, p, w) for h, s in zip(pdf["__host"], pdf["__html"]) if isinstance(s, str) for p, w in votes_of(s)]
-            yield pd.DataFrame(out, columns=["host", "path", "share"])
+            out = [(h, *v) for h, s in zip(pdf["__host"], pdf["__html"]) if isinstance(s, str) for v in votes_of(s)]
+            yield pd.DataFrame(out, columns=["host", "path", "share", "worth", "size", "said", "top"])
 
-    votes = rows.select("__host", "__html").mapInPandas(vote, "host string, path string, share double")
-    tally = votes.groupBy("host", "path").agg(F.round(F.sum("share"), 6).alias("votes"))
+    votes = rows.select("__host", "__html").mapInPandas(vote, "host string, path string, share double, worth double, size long, said long, top boolean")
+    tally = votes.groupBy("host", "path").agg(
+        F.round(F.sum("share"), 6).alias("votes"), (2 * F.round(F.sum("worth")) >= F.sum("size")).alias("plain"),
+        ((F.count("*") == 1) | (F.min("said") < F.max("said"))).alias("varied"), F.count("*").alias("n"), F.max("top").alias("top"),
+    )
+    tally = checkpoint(tally)
     rank = Window.partitionBy("host").orderBy(F.col("votes").desc(), "path")
-    winners = tally.withColumn("r", F.row_number().over(rank)).where("r = 1").select(F.col("host").alias("__host"), F.col("path").alias("__path"))
+    core = tally.withColumn("r", F.row_number().over(rank)).where("r = 1").select("host", F.col("path").alias("core"), F.col("n").alias("core_n"))
+    near = tally.join(core, "host").where("plain and (startswith(core, concat(path, '/')) or (top and varied and 2 * n >= core_n) or path = core)")
+    lists = near.groupBy("host").agg(F.collect_set(F.when(F.expr("startswith(core, concat(path, '/'))"), F.col("path"))).alias("around"), F.collect_set(F.when(F.expr("top and varied and 2 * n >= core_n"), F.col("path"))).alias("tops"))
+
+    @F.pandas_udf("array<string>")
+    def places(cores: pd.Series, around: pd.Series, tops: pd.Series) -> pd.Series:
+        outer = [_outermost(c, list(a) if a is not None else []) for c, a in zip(cores, around)]
+        return pd.Series([[o, *_beside(o, list(t) if t is not None else [])] for o, t in zip(outer, tops)], dtype=object)
+
+    winners = core.join(lists, "host", "left").select(F.col("host").alias("__host"), places("core", "around", "tops").alias("__path"))
     winners = checkpoint(winners)
     near = F.broadcast(winners) if winners.limit(broadcast_rows + 1).count() <= broadcast_rows else winners
 
     @F.pandas_udf("string")
     def take(sources: pd.Series, paths: pd.Series) -> pd.Series:
-        return pd.Series([main_text(s, p if isinstance(p, str) else None) if isinstance(s, str) else "" for s, p in zip(sources, paths)], dtype=object)
+        return pd.Series([main_text(s, list(p) if p is not None else None) if isinstance(s, str) else "" for s, p in zip(sources, paths)], dtype=object)
 
     return rows.join(near, "__host", "left").select(*kept, take("__html", "__path").alias("text")).withColumn("n_chars", F.length("text").cast("long"))

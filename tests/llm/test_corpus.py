@@ -89,6 +89,22 @@ def test_html_table(spark):
     assert got == {1: "Hello there", 2: "", 3: ""}
 
 
+def test_html_whole_article(spark):
+    long = lambda k: " ".join(f"{k}word{i}" for i in range(120))
+    menu = "<nav><a href='/'>Menu</a></nav>"
+    shapes = {
+        "a": lambda k: f"{menu}<article><h1>Title {k}</h1><p>lead {k}</p><div class=entry-content><p>{long(k)}</p></div></article><footer>f</footer>",
+        "b": lambda k: f"{menu}<main><div class=lead>Title {k} lead {k}</div><div class=story>{long(k)}</div></main>",
+        "c": lambda k: f"{menu}<div class=content><div class=top>Title {k} lead {k}</div><div class=story>{long(k)}</div></div>",
+        "d": lambda k: f"<h1>Title {k}</h1><div class=slogan>same on all</div><div class=teaser>lead {k}</div><div class=story>{long(k)}</div><div class=links><a href=x>{k} and more links</a></div>",
+    }
+    data = [(f"{h}{k}", f"http://{h}.x/{k}", f"<html><body>{f(k)}</body></html>") for h, f in shapes.items() for k in range(4)]
+    rows = spark.createDataFrame(data, "page_id string, url string, html string")
+    for r in html_text.extract_main_text(rows).collect():
+        k = r["page_id"][1]
+        assert r["text"] == f"Title {k} lead {k} {long(k)}", r["page_id"]
+
+
 def test_decontaminate(spark, docs, empty):
     bench = spark.createDataFrame([(1, "If Tom buys 12 apples and then gives 5 apples to his friend how many apples does he keep"), (2, None), (3, "")], "item_id long, text string")
     rows = spark.createDataFrame([(1, "intro text here If Anna buys 40 apples and then gives 7 apples to his friend how many apples does he keep the end"), (2, "nothing of the kind"), (3, None)], "doc_id long, text string")
