@@ -83,29 +83,34 @@ def drawdown_scale(drawdown: Column) -> Column:
     return F.greatest(F.lit(0.0), 1 - F.abs(drawdown) * 0.5 / 0.2)
 
 
-def bootstrap_ruin(trades: DataFrame, paths: int = 2000, horizon: int = 200, block: int = 5, limit: float = 0.5, risk: float = 0.02, key: str = "strategy") -> DataFrame:
+def bootstrap_ruin(
+    trades: DataFrame, paths: int = 10_000, horizon: int = 200, block: int = 5, limit: float = 0.5, risk: float = 0.02, key: str = "strategy", worse_share: float = 0.15, worse_r: float = 0.1,
+) -> DataFrame:
     """Share of resampled paths of each strategy that fall ``limit`` below their peak.
 
     A path strings together blocks of consecutive trades; where each begins comes from the md5 of
-    strategy, path and block number, so any engine draws the same. Losses are stressed by 1.3 and
-    0.05 R is taken off each trade. Strategies with fewer trades than a block are ruined.
+    strategy, path and block number, so any engine draws the same. Losses are stressed by 1.3,
+    0.05 R is taken off each trade, and ``worse_r`` off a ``worse_share`` of the drawn trades, told by the
+    last bits of the md5 of strategy, path and step. Trades without an R are left out; strategies
+    with fewer trades than a block are ruined.
     """
     w = Window.partitionBy(key).orderBy("trade_id")
-    t = trades.select(key, (F.row_number().over(w) - 1).alias("i"), (F.when(F.col("r_multiple") < 0, 1.3 * F.col("r_multiple")).otherwise(F.col("r_multiple")) - 0.05).alias("r"))
+    known = trades.where(F.col("r_multiple").isNotNull() & ~F.isnan("r_multiple"))
+    t = known.select(key, (F.row_number().over(w) - 1).alias("i"), (F.when(F.col("r_multiple") < 0, 1.3 * F.col("r_multiple")).otherwise(F.col("r_multiple")) - 0.05).alias("r"))
     n = t.groupBy(key).agg(F.count("*").alias("n"))
     starts = n.where(F.col("n") >= block).select(key, "n", F.explode(F.sequence(F.lit(0), F.lit(paths - 1))).alias("path")).select(
-        key, "n", "path", F.explode(F.sequence(F.lit(0), F.lit(horizon // block - 1))).alias("b")
+        key, "n", "path", F.explode(F.sequence(F.lit(0), F.lit(-(-horizon // block) - 1))).alias("b")
     )
-    bits = F.conv(F.substring(F.md5(F.concat_ws(":", key, "path", "b")), 1, 8), 16, 10).cast("long")
-    steps = starts.select(key, "path", "b", F.pmod(bits, F.col("n") - block + 1).alias("at")).select(
+    drawn = lambda name, at: F.conv(F.substring(F.md5(F.concat_ws(":", key, "path", name)), at, 8), 16, 10).cast("long")
+    steps = starts.select(key, "path", "b", F.pmod(drawn("b", 1), F.col("n") - block + 1).alias("at")).select(
         key, "path", "b", "at", F.explode(F.sequence(F.lit(0), F.lit(block - 1))).alias("j")
-    ).select(key, "path", (F.col("b") * block + F.col("j")).alias("step"), (F.col("at") + F.col("j")).alias("i"))
-    joined = steps.join(t, [key, "i"])
+    ).select(key, "path", (F.col("b") * block + F.col("j")).alias("step"), (F.col("at") + F.col("j")).alias("i")).where(F.col("step") < horizon)
+    joined = steps.join(t, [key, "i"]).withColumn("r", F.col("r") - F.when(drawn("step", 25) < int(worse_share * 2**32), worse_r).otherwise(0.0))
     run = Window.partitionBy(key, "path").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
     level = joined.withColumn("e", F.sum(F.log(F.greatest(1 + risk * F.col("r"), F.lit(1e-9)))).over(run))
     level = level.withColumn("low", F.col("e") - F.greatest(F.max("e").over(run), F.lit(0.0)))
     ruined = level.groupBy(key, "path").agg((F.min("low") <= F.log(F.lit(1 - limit))).cast("int").alias("x")).groupBy(key).agg(F.avg("x").alias("ruin"))
-    return n.select(key).join(ruined, key, "left").select(key, F.coalesce("ruin", F.lit(1.0)).alias("ruin"))
+    return trades.select(key).distinct().join(ruined, key, "left").select(key, F.coalesce("ruin", F.lit(1.0)).alias("ruin"))
 
 
 def water_fill(rows: DataFrame, budget: float, group: list[str]) -> DataFrame:

@@ -197,7 +197,7 @@ def exit_reason_counts(spark, sf):
 
 
 def ruin_bootstrap(spark, sf):
-    return _r(m.bootstrap_ruin(_trades(spark, sf), paths=200, horizon=50), "ruin")
+    return _r(m.bootstrap_ruin(_trades(spark, sf), paths=10_000, horizon=200), "ruin")
 
 
 def risk_split(spark, sf):

@@ -1,11 +1,12 @@
 import datetime as dt
+import hashlib
 import math
 from statistics import NormalDist
 
 from pyspark.sql import functions as F
 
 from tapeworks.functions.normal import normal_cdf, normal_inverse
-from tapeworks.operators import costs, features, trades
+from tapeworks.operators import costs, features, metrics, trades
 from tapeworks.operators.components import connected_components
 
 
@@ -60,3 +61,34 @@ def test_components(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (7, 7)], "a long, b long")
     got = {r["node"]: r["component"] for r in connected_components(e).collect()}
     assert all(got[i] == 0 for i in range(41)) and got[102] == 100
+
+
+def test_ruin_takes_worse_fills(spark):
+    rs = [(-1.0 if k % 3 else 1.6) for k in range(30)]
+    df = spark.createDataFrame([("s", k, r) for k, r in enumerate(rs)] + [("t", 0, 1.0)], "strategy string, trade_id int, r_multiple double")
+    bits = lambda *x: hashlib.md5(":".join(map(str, x)).encode()).hexdigest()
+    paths, horizon, ruined, worse = 60, 63, 0, 0
+    for p in range(paths):
+        level = peak = 1.0
+        low = False
+        for step in range(horizon):
+            b, j = divmod(step, 5)
+            r = rs[int(bits("s", p, b)[:8], 16) % (len(rs) - 4) + j]
+            bad = int(bits("s", p, step)[24:], 16) < int(0.15 * 2**32)
+            level *= 1 + 0.02 * ((1.3 * r if r < 0 else r) - 0.05 - (0.1 if bad else 0.0))
+            peak, worse = max(peak, level), worse + bad
+            low = low or level <= 0.75 * peak
+        ruined += low
+    got = {r["strategy"]: r["ruin"] for r in metrics.bootstrap_ruin(df, paths=paths, horizon=horizon, limit=0.25).collect()}
+    assert 0.1 < worse / (paths * horizon) < 0.2
+    assert math.isclose(got["s"], ruined / paths) and got["t"] == 1.0
+
+
+def test_ruin_is_registered_whole(spark, monkeypatch):
+    from tapeworks.plans import queries
+
+    seen = {}
+    monkeypatch.setattr(queries, "_trades", lambda *_: None)
+    monkeypatch.setattr(queries.m, "bootstrap_ruin", lambda _, **k: seen.update(k) or spark.createDataFrame([("s", 0.5)], "strategy string, ruin double"))
+    queries.ruin_bootstrap(spark, "")
+    assert seen == {"paths": 10_000, "horizon": 200}
