@@ -31,7 +31,7 @@ NEEDED = {"email": "@", "ip": r"[0-9]\.[0-9]++\.[0-9]", "card": r"[0-9][0-9\x20-
 GENERATORS = {
     "email": r"(?<![A-Za-z0-9])[A-Za-z0-9._%+-]{2,40}+\x20?[\[(]?\x20?(?:at|AT|@)\x20?[\])]?\x20?[A-Za-z0-9-]{2,40}+\x20?[\[(]?\x20?(?:dot|DOT|\.)\x20?[\])]?\x20?[A-Za-z]{2,6}+",
     "phone": r"(?<![0-9.+-])(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[\x20.-][0-9]{2,4}){2,4}(?![0-9.-])",
-    "secret": r"(?<![A-Za-z0-9])[A-Za-z_-]{3,20}+\x20?[:=]\x20?[\"'][A-Za-z0-9+/_=.-]{16,200}+[\"']",
+    "secret": r"(?<![A-Za-z0-9])[A-Za-z_-]{3,20}+\x20?[:=]\x20?[\"'][A-Za-z0-9+/_=.-]{16,}+[\"']",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?![A-Za-z0-9])",
 }
@@ -202,31 +202,55 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_docs:
     """Fit on the candidates of at most ``max_docs`` documents (those of smallest hash).
 
     Format checks give the labels; candidates that no check settles are not learnt from. Two thirds
-    of the documents grow the trees, the rest calibrates: each kind gets the least threshold
-    at which ``precision`` of its candidates are personal. None where either label is missing.
+    of those documents grow the trees (of ten times as many, while they show one label only), all
+    other documents calibrate: each kind gets the least threshold
+    at which ``precision`` of its candidates are personal, a kind without such candidates that of all
+    kinds together. Where every settled candidate of the table is personal all are taken; None where none is.
     """
-    ids = docs.select(F.col(doc_id).alias("id")).where("id is not null").distinct().orderBy(F.xxhash64("id"), "id").limit(max_docs)
-    rows = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(ids), "id")
-    flat = rows.select("id", F.explode(candidates(F.col("text"))).alias("c")).where("c.strict or c.loose").select(
-        F.pmod(F.xxhash64("id", F.lit(1)), F.lit(3)).alias("part"), F.col("c.kind").alias("kind"), F.col("c.strict").cast("double").alias("label"), *[F.col(f"c.f{i}") for i in range(len(FEATURES))]
-    )
-    flat = checkpoint(flat)
-    if flat.where("part > 0").agg(F.count_distinct("label")).first()[0] < 2:
-        return None
+    rows = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).where("id is not null")
+
+    def settled(x: DataFrame) -> DataFrame:
+        return x.select("id", F.explode(candidates(F.col("text"))).alias("c")).where("c.strict or c.loose").select(
+            "id", F.col("c.kind").alias("kind"), F.col("c.strict").cast("double").alias("label"), *[F.col(f"c.f{i}") for i in range(len(FEATURES))]
+        )
+
+    n_docs = None
+    while True:
+        grow = rows.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(max_docs).where(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(3)) > 0)
+        grow = checkpoint(grow)
+        flat = checkpoint(settled(rows.join(F.broadcast(grow), "id")))
+        labels = {r["label"] for r in flat.select("label").distinct().collect()}
+        n_docs = rows.select("id").distinct().count() if len(labels) < 2 and n_docs is None else n_docs
+        if len(labels) == 2 or max_docs >= n_docs:
+            break
+        max_docs *= 10
+    if len(labels) < 2:  # the calibrating documents may still show the other label
+        labels = {r["label"] for r in settled(rows).select("label").distinct().collect()}
+        if 1.0 not in labels:
+            return None
+        if 0.0 not in labels:
+            return SpanTrees([], [], {k: 0.0 for k in range(len(KINDS))})
+        grow, flat = grow.limit(0), checkpoint(settled(rows))
     names = [f"f{i}" for i in range(len(FEATURES))]
-    ready = VectorAssembler(inputCols=names, outputCol="features").transform(flat.where("part > 0").coalesce(4))
+    ready = VectorAssembler(inputCols=names, outputCol="features").transform(flat.coalesce(4))
     model = GBTClassifier(maxIter=rounds, maxDepth=3, stepSize=0.3, seed=11, cacheNodeIds=False).fit(ready)
     out = SpanTrees([_parsed(t.toDebugString) for t in model.trees], list(model.treeWeights), {})
+    rest = settled(rows.join(F.broadcast(grow), "id", "left_anti"))
     bins = (
-        flat.where("part = 0").select("kind", "label", F.floor(out.probability(lambda i: F.col(f"f{i}")) * 50).alias("bin"))
-        .groupBy("kind", "bin").agg(F.sum("label").alias("good"), F.count("*").alias("n")).orderBy("kind", F.col("bin").desc()).collect()
+        rest.select("kind", "label", F.floor(out.probability(lambda i: F.col(f"f{i}")) * 50).alias("bin"))
+        .groupBy("kind", "bin").agg(F.sum("label").alias("good"), F.count("*").alias("n")).orderBy(F.col("bin").desc(), "kind").collect()
     )
-    for kind in {r["kind"] for r in bins}:
-        good = n = 0.0
-        for r in [r for r in bins if r["kind"] == kind]:
-            good, n = good + r["good"], n + r["n"]
-            if good >= precision * n and r["bin"] >= 25:
-                out.thresholds[kind] = r["bin"] / 50
+
+    def least(of: list) -> float:
+        at, good, n = 2.0, 0.0, 0.0
+        for b in sorted({r["bin"] for r in of}, reverse=True):
+            good, n = good + sum(r["good"] for r in of if r["bin"] == b), n + sum(r["n"] for r in of if r["bin"] == b)
+            if good >= precision * n and b >= 25:
+                at = b / 50
+        return at
+
+    for kind in range(len(KINDS)):
+        out.thresholds[kind] = least([r for r in bins if r["kind"] == kind] or bins)
     return out
 
 

@@ -149,6 +149,24 @@ def test_personal(spark, empty):
     assert personal_data.train(empty) is None
 
 
+def test_personal_rare_kinds(spark):
+    texts = [f"mail bob{i}[at]site{i}.com now" if i % 2 else f"we meet at home{'x' * (i % 5)}. Then go" for i in range(240)]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    ids = {r["id"] for r in spark.range(240).orderBy(F.xxhash64("id"), "id").limit(60).collect()}
+    rare = next(i for i in range(239, 0, -1) if i not in ids and i % 2 == 0)
+    key = "api_token = '" + "a1B2" * 70 + "'"
+    rows[rare] = (rare, f"ssn 123-45-6789 and {key} done")
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    model = personal_data.train(df, max_docs=60)
+    assert set(model.thresholds) == set(range(len(personal_data.KINDS))) and model.thresholds[personal_data.KINDS.index("iban")] < 1
+    assert model.thresholds[personal_data.KINDS.index("iban")] >= 0.5
+    found = [c["kind"] for r in df.where(F.col("doc_id") == rare).select(personal_data.candidates(F.col("text")).alias("c")).collect() for c in r["c"]]
+    assert personal_data.KINDS.index("secret") in found and personal_data.KINDS.index("ssn") in found
+    one = spark.createDataFrame([(1, "ssn 123-45-6789 x")], "doc_id long, text string")
+    got = personal_data.personal_spans(one, personal_data.train(one)).select(personal_data.joined("spans").alias("s")).first()
+    assert "ssn:4:15" in got["s"].split(",")
+
+
 def test_quality(spark, docs, empty):
     labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
     model = line_crf.train(empty, labels)
