@@ -46,7 +46,7 @@ STAGES = [
     ("mix", _mix),
     ("shard", _shard),
 ]
-#: No SQL: the classifier is trained. tests/llm compares each stage with a plain version.
+#: No SQL: the classifier is trained. No test runs the stages; tests/llm tests their operators on a few rows.
 ORACLE_SQL = None
 
 
