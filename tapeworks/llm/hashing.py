@@ -48,16 +48,22 @@ class PrefixHash:
         return (self.sums[end] - self.sums[start]) * self.back[start]
 
 
-def chunks(texts: list[bytes], limit: int = 2 << 20):
-    """(first, last) index ranges whose bytes together stay near ``limit``; a longer text is alone."""
-    first, size = 0, 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > limit:
+def ranges(sizes, limit: int = 2 << 20):
+    """(first, last) index ranges whose sizes together stay near ``limit``; a longer one is alone."""
+    first, size, n = 0, 0, 0
+    for i, k in enumerate(sizes):
+        n = i + 1
+        if size and size + k > limit:
             yield first, i
             first, size = i, 0
-        size += len(t) + 1
-    if first < len(texts):
-        yield first, len(texts)
+        size += int(k) + 1
+    if first < n:
+        yield first, n
+
+
+def chunks(texts: list[bytes], limit: int = 2 << 20):
+    """``ranges`` over the texts' bytes."""
+    return ranges(map(len, texts), limit)
 
 
 def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -68,12 +74,12 @@ def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return buf, starts
 
 
-def word_hashes(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and hashes of the words of a buffer that ends in a space."""
+def word_hashes(buf: np.ndarray, hashes: PrefixHash | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and hashes of the words of a buffer that ends in a space; ``hashes`` are the buffer's, if known."""
     space = SPACE[buf]
     edge = np.diff(np.concatenate([[True], space]).astype(np.int8))
     start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    h = PrefixHash(buf).slices(start, end)
+    h = (hashes or PrefixHash(buf)).slices(start, end)
     return start, mix(h + (end - start).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
 
 

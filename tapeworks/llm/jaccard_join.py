@@ -316,8 +316,19 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 def keep_one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents without those that are not the smallest number of their component.
 
-    Rows with a null number and all columns stay. Repeated rows of a kept number stay one row.
+    All columns stay. Rows that repeat both number and text of a kept document become one row (the
+    one of smallest content). A number that bears different texts has no one set to compare: its
+    rows stay whole, as do rows with a null number.
     """
-    found = near_duplicates(docs, doc_id, text).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone"))
-    rows = docs.join(found, docs[doc_id].cast("long") == F.col("__gone"), "left_anti")
-    return rows.where(F.col(doc_id).isNotNull()).dropDuplicates([doc_id]).unionByName(rows.where(F.col(doc_id).isNull()))
+    key = F.col(doc_id).cast("long")
+    per = docs.where(key.isNotNull()).select(key.alias("__id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("__h"))
+    often = checkpoint(per.groupBy("__id").agg(F.count("*").alias("n"), F.min("__h").alias("lo"), F.max("__h").alias("hi")).where("n > 1"))
+    unclear = often.where("lo <> hi").select("__id")
+    gone = near_duplicates(docs, doc_id, text).where("doc_id <> component_id").select(F.col("doc_id").alias("__id"))
+    rows = docs.join(gone.join(unclear, "__id", "left_anti"), key == F.col("__id"), "left_anti")
+    if often.isEmpty():
+        return rows
+    again = often.where("lo = hi").select("__id")
+    once = rows.join(again, key == F.col("__id"), "left_anti")
+    first = rows.join(again, key == F.col("__id"), "left_semi").select(F.struct(*docs.columns).alias("__row"))
+    return once.unionByName(first.groupBy(F.col(f"__row.{doc_id}")).agg(F.min("__row").alias("__row")).select("__row.*"))

@@ -6,10 +6,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeworks.llm.hashing import LOWER, SPACE, PrefixHash, chunks, word_hashes
+from tapeworks.llm.hashing import LOWER, SPACE, PrefixHash, chunks, ranges, word_hashes
 
 _SETS = {
     "upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ",
@@ -22,36 +24,26 @@ _SETS = {
 _CLASS = {k: np.isin(np.arange(256), np.frombuffer(v, np.uint8)) for k, v in _SETS.items()}
 _CLASS["letter"] = np.isin(np.arange(256), np.frombuffer(b"abcdefghijklmnopqrstuvwxyz", np.uint8)) | (np.arange(256) >= 0xC0)
 _CLASS["space"] = SPACE
-_CODE = np.zeros(256, np.int64)
-for _k, _name in enumerate(_CLASS):
-    _CODE[_CLASS[_name]] = _k + 1
 OWN = 18
+PIECE = 1 << 18  # bytes of text that are turned into features at once
 FEATURES = 3 * OWN + 3
 
 
-def line_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features of each line of each text, the line's length and the text it belongs to.
-
-    A line carries its own features, those of the line before and after it, and whether it is
-    first, last or repeats within its text. Every text has at least one line.
-    """
-    buf = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+def _own_features(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features, sizes and hashes of the lines of a buffer; every line ends in a line feed."""
     end = np.flatnonzero(buf == 10)
     start = np.concatenate([[0], end[:-1] + 1])
-    text_end = np.cumsum([len(t) + 1 for t in texts]) - 1
-    doc = np.searchsorted(text_end, end, side="left")
     size = end - start
     length = size + 1.0
-    f = np.zeros((len(end), OWN), np.float64)
+    f = np.zeros((len(end), OWN), np.float32)
     f[:, 0] = np.log1p(size) / 5
-    kinds = len(_CLASS) + 1
-    code = np.repeat(np.arange(len(end), dtype=np.int64) * kinds, size + 1) + _CODE[buf]
-    count = np.bincount(code, minlength=len(end) * kinds).reshape(-1, kinds)
-    n = {name: count[:, 1 + k] for k, name in enumerate(_CLASS)}
-    n["space"] = n["space"] - 1  # the line's end
+    n = {name: np.add.reduceat(member[buf].view(np.int8), start, dtype=np.int64) for name, member in _CLASS.items()}
+    n["space"] -= 1  # the line's end
     for k, name in enumerate(_CLASS):
         f[:, 1 + k] = n[name] / length
-    at, words = word_hashes(LOWER[buf])
+    low = LOWER[buf]
+    hashes = PrefixHash(low)
+    at, words = word_hashes(low, hashes)
     line = np.searchsorted(end, at, side="left")
     n_words = np.bincount(line, minlength=len(end))
     order = np.lexsort((words, line))
@@ -67,6 +59,25 @@ def line_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     f[:, 15] = np.isin(buf[np.maximum(end - 1, 0)], np.frombuffer(b".!?\"'", np.uint8)) & (size > 0)
     f[:, 16] = size == 0
     f[:, 17] = np.log1p(n_words) / 4
+    return f, size, hashes.slices(start, end)
+
+
+def line_features(texts: list[bytes], piece: int = PIECE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features of each line of each text, the line's length and the text it belongs to.
+
+    A line carries its own features, those of the line before and after it, and whether it is
+    first, last or repeats within its text (A-Z lower-cased). Every text has at least one line.
+    Lines are read in pieces of about ``piece`` bytes, so a text of many lines needs little memory
+    beside its features.
+    """
+    buf = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+    end = np.flatnonzero(buf == 10)
+    text_end = np.cumsum([len(t) + 1 for t in texts]) - 1
+    doc = np.searchsorted(text_end, end, side="left")
+    cut = np.unique(np.searchsorted(end, np.arange(piece, len(buf), piece)))
+    edge = np.unique(np.concatenate([[0], end[cut[cut < len(end)]] + 1, [len(buf)]]))
+    parts = [_own_features(buf[a:z]) for a, z in zip(edge, edge[1:])]
+    f, size, h = (np.concatenate([x[k] for x in parts]) for k in range(3))
     out = np.zeros((len(end), FEATURES), np.float32)
     out[:, :OWN] = f
     first, last = np.ones(len(end), bool), np.ones(len(end), bool)
@@ -75,12 +86,11 @@ def line_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     out[1:, OWN : 2 * OWN][~first[1:]] = f[:-1][~first[1:]]
     out[:-1, 2 * OWN : 3 * OWN][~last[:-1]] = f[1:][~last[:-1]]
     out[:, -3], out[:, -2] = first, last
-    h = PrefixHash(buf).slices(start, end)
     order = np.lexsort((h, doc))
     again = (doc[order][1:] == doc[order][:-1]) & (h[order][1:] == h[order][:-1]) & (size[order][1:] > 0)
     out[order[1:][again], -1] = 1
     out[order[:-1][again], -1] = 1
-    return out, length, doc
+    return out, size + 1.0, doc
 
 
 @dataclass
@@ -186,11 +196,12 @@ def _bytes(text) -> list[bytes]:
     return [(t if isinstance(t, str) else "").encode("utf-8", "surrogatepass") for t in text]
 
 
-def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", max_docs: int = 4000, folds: int = 5) -> LineCrf:
+def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", max_docs: int = 4000, max_lines: int = 2000, folds: int = 5) -> LineCrf:
     """Fit on at most ``max_docs`` labelled documents whose crc32(number) mod ``folds`` is not 0.
 
     The sample is a documented bound: of the labelled rows outside the held-out fold those with
-    the smallest hashes of the document number. Where no label, or only one class, is there,
+    the smallest hashes of the document number, and of those the ones of at most ``max_lines`` lines
+    (scoring takes all lines of all documents). Where no label, or only one class, is there,
     the model stays neutral: every document gets the share of good labels (0.5 without labels).
     """
     sample = (
@@ -202,8 +213,11 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
     def features(batches):
         for pdf in batches:
-            texts, y = _bytes(pdf["text"]), pdf["label"].to_numpy()
-            for i, j in chunks(texts):
+            texts = _bytes(pdf["text"])
+            few = np.array([t.count(b"\n") < max_lines for t in texts], bool)
+            pdf, texts = pdf[few], [t for t, keep in zip(texts, few) if keep]
+            y = pdf["label"].to_numpy()
+            for i, j in chunks(texts, PIECE):
                 x, length, doc = line_features(texts[i:j])
                 cut = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])).tolist() + [len(doc)]
                 yield pd.DataFrame({"id": pdf["id"].iloc[i:j].to_numpy(), "label": y[i:j], "x": [x[a:b].tobytes() for a, b in zip(cut, cut[1:])], "length": [length[a:b].tobytes() for a, b in zip(cut, cut[1:])]})
@@ -231,11 +245,13 @@ def score_documents(docs: DataFrame, model: LineCrf, text: str = "text", name: s
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def quality(texts: pd.Series) -> pd.Series:
-        raw, out = _bytes(texts), np.zeros(len(texts))
-        for i, j in chunks(raw):
-            out[i:j] = shared.value.score(raw[i:j])
-        return pd.Series(out)
+    @F.arrow_udf("double")
+    def quality(texts: pa.Array) -> pa.Array:
+        size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+        out = np.zeros(len(texts))
+        for i, j in ranges(size, PIECE):
+            raw = [t or b"" for t in texts.slice(i, j - i).cast(pa.large_binary()).to_pylist()]
+            out[i:j] = shared.value.score(raw)
+        return pa.array(out)
 
     return docs.withColumn(name, quality(F.col(text)))
