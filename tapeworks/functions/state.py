@@ -4,25 +4,35 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 #: Spark setting under which the shuffle files of an action go when the action ends.
 FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the session's checkpoint folder and read it back from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, set from ``spark.checkpoint.dir``.
 
-    The folder is the one named in ``spark.checkpoint.dir``; only a session without that
-    setting (a test) gets a temporary folder of its own. Once the rows are written, the shuffle
-    files that led to them are of no more use and are freed at once instead of at the driver's
-    next garbage collection.
+    Only a local session without that setting (a test) gets a temporary folder of its own; on
+    a cluster, whose executors could not read such a folder, its absence is an error.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir")
+        if named is None and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the session's checkpoint folder and read it back from there.
+
+    Once the rows are written, the shuffle files that led to them are of no more use. They are
+    freed at once instead of at the driver's next garbage collection.
+    """
+    spark = df.sparkSession
+    shared_folder(spark)
     before = spark.conf.get(FREE_SHUFFLES, "false")
     spark.conf.set(FREE_SHUFFLES, "true")
     try:
