@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,8 +13,8 @@ from tapeworks.llm.hashing import chunks, mix, shingle_sets
 from tapeworks.operators.components import connected_components
 
 ORDERS = 3
-SKETCH = 12
-STARS = (4, SKETCH, SKETCH)  # min-hashes compared in each star round
+DRAWS = (1, 8)  # in each leader round, the groups of tokens that draw their leaders apart
+TILE = 256  # classes of a component that meet as many others in one task
 WORDS = 4  # 64-bit words of a parity bitmap
 FILTER_BITS = 1 << 24
 
@@ -61,11 +62,6 @@ def _prefix_length(n: np.ndarray) -> np.ndarray:
     return n - (4 * n + 4) // 5 + 1
 
 
-def _index_length(n: np.ndarray) -> np.ndarray:
-    """The same for the smaller set of a pair, which must have 8/9 of its tokens in common."""
-    return n - (8 * n + 8) // 9 + 1
-
-
 def _parities(first: np.ndarray, has: np.ndarray, h: np.ndarray) -> np.ndarray:
     """For each set, the parity of its tokens that fall on each of 256 bits.
 
@@ -118,6 +114,14 @@ class _Orders:
         return out
 
 
+def _sums(first: np.ndarray, has: np.ndarray, h: np.ndarray) -> list[np.ndarray]:
+    """Two sums over each set that, with its size, tell sets apart."""
+    out = [np.zeros(len(has), np.uint64) for _ in range(2)]
+    for k in range(2 if len(h) else 0):
+        out[k][has] = np.add.reduceat(mix(h + np.uint64(0x1234567 * (k + 1))), first[has])
+    return out
+
+
 def _signatures(shared):
     def rows(batches):
         orders = _Orders(shared.value)
@@ -129,20 +133,13 @@ def _signatures(shared):
                 n = np.bincount(own, minlength=m)
                 first = np.concatenate([[0], np.cumsum(n)[:-1]])
                 has = n > 0
-                sums = [np.zeros(m, np.uint64) for _ in range(2)]
-                sketch = np.zeros((m, SKETCH), np.uint64)
-                if len(h):
-                    for k in range(2):
-                        sums[k][has] = np.add.reduceat(mix(h + np.uint64(0x1234567 * (k + 1))), first[has])
-                    for k in range(SKETCH):
-                        sketch[has, k] = np.minimum.reduceat(mix(h ^ np.uint64(0x5851F42D4C957F2D * (k + 1) % (1 << 64))), first[has])
+                sums = _sums(first, has, h)
                 ((who, token),) = orders.prefixes(own, h, n, [0])
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(i, m), pa.array(n.astype(np.int64)), *(pa.array(s.view(np.int64)) for s in sums),
-                     _lists(sketch[has].ravel().view(np.int64), np.repeat(np.flatnonzero(has), SKETCH), m, np.int64),
                      _lists(token.view(np.int64), who, m, np.int64),
                      _lists(_parities(first, has, h).ravel().view(np.int64), np.repeat(np.arange(m), WORDS), m, np.int64)],
-                    ["doc_id", "n_shingles", "s1", "s2", "sketch", "prefix", "bits"],
+                    ["doc_id", "n_shingles", "s1", "s2", "prefix", "bits"],
                 )
 
     return rows
@@ -158,92 +155,167 @@ def _members(batches, words: np.ndarray):
             yield ids.slice(i, j - i), j - i, *shingle_sets(texts[i:j])
 
 
-def _sets(shared):
-    def rows(batches):
-        for ids, m, own, h in _members(batches, shared.value):
-            yield pa.RecordBatch.from_arrays([ids, _lists(h.view(np.int64), own, m, np.int64)], ["doc_id", "tokens"])
-
-    return rows
-
-
-def _further_prefixes(shared, heavy):
-    """Prefixes under the second and third order, as 32-bit parts of the tokens."""
+def _sides(shared, heavy):
+    """The sets and their prefixes under the second and third order, as 32-bit parts of the tokens."""
 
     def rows(batches):
         orders = _Orders(heavy.value)
         for ids, m, own, h in _members(batches, shared.value):
             n = np.bincount(own, minlength=m)
+            s1, s2 = (pa.array(x.view(np.int64)) for x in _sums(np.concatenate([[0], np.cumsum(n)[:-1]]), n > 0, h))
             cols = [_lists((t >> np.uint64(32)).astype(np.uint32).view(np.int32), w, m, np.int32) for w, t in orders.prefixes(own, h, n, range(1, ORDERS))]
-            yield pa.RecordBatch.from_arrays([ids, *cols], ["doc_id", "p2", "p3"])
+            yield pa.RecordBatch.from_arrays([ids, s1, s2, _lists(h.view(np.int64), own, m, np.int64), *cols], ["doc_id", "s1", "s2", "tokens", "p2", "p3"])
 
     return rows
 
 
-def _bit_map(pairs: DataFrame):
-    """Broadcast bit map of fixed size, filled from the documents of the pairs.
+def _bit_map(needed: DataFrame):
+    """Broadcast bit map of fixed size, filled from the document numbers in ``needed``.
 
     It tells a scan which documents are needed; where it has filled up it lets more pass,
     never less.
     """
     bit = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-    ends = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id")))
     found = (
-        ends.select(bit.alias("bit")).select(F.shiftright("bit", 6).alias("word"), F.pmod("bit", F.lit(64)).cast("int").alias("at"))
+        needed.select(bit.alias("bit")).select(F.shiftright("bit", 6).alias("word"), F.pmod("bit", F.lit(64)).cast("int").alias("at"))
         .groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, at)")).alias("bits")).toArrow()
     )
     words = np.zeros(FILTER_BITS >> 6, np.uint64)
     words[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
-    return pairs.sparkSession.sparkContext.broadcast(words)
+    return needed.sparkSession.sparkContext.broadcast(words)
+
+
+def sides(docs: DataFrame, needed: DataFrame, heavy, repeated: bool = True) -> DataFrame:
+    """(doc_id, tokens, p2, p3) of the documents whose numbers are in ``needed`` (and few others).
+
+    ``repeated``: a number may come in several rows; the greatest set stands for it.
+    """
+    scan = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("bit"))
+    schema = "doc_id long, s1 long, s2 long, tokens array<long>, p2 array<int>, p3 array<int>"
+    found = scan.mapInArrow(_sides(_bit_map(needed), heavy), schema)
+    if repeated:
+        best = F.max(F.struct(F.size("tokens").alias("n"), "s1", "s2", "tokens", "p2", "p3")).alias("s")
+        found = found.groupBy("doc_id").agg(best).select("doc_id", "s.*")
+    return found.select("doc_id", "tokens", "p2", "p3")
+
+
+def meeting(of: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose prefixes share a token under the second and under the third order, with both sets (ta, tb)."""
+    side = lambda k: of.select(F.col("doc_id").alias(k), F.col("tokens").alias(f"t{k}"), F.col("p2").alias(f"{k}2"), F.col("p3").alias(f"{k}3"))
+    both = pairs.select("a", "b").join(side("b"), "b").join(side("a"), "a")
+    return both.where("arrays_overlap(a2, b2)").where("arrays_overlap(a3, b3)").select("a", "b", "ta", "tb")
+
+
+def verified(met: DataFrame) -> DataFrame:
+    """Of the pairs with their sets, those (a, b) whose sets have 80 % or more in common."""
+    held = met.withColumn("common", F.size(F.array_intersect("ta", "tb"))).where("100 * common >= 80 * (size(ta) + size(tb) - common)")
+    return held.select("a", "b").distinct()
+
+
+def _links(docs: DataFrame, first: DataFrame, heavy, repeated: bool) -> DataFrame:
+    """Of the pairs that meet under the first order, those that meet under all others and then hold."""
+    first = checkpoint(first)
+    of = sides(docs, first.select(F.explode(F.array("a", "b")).alias("doc_id")), heavy, repeated)
+    return checkpoint(verified(meeting(of, first)))
 
 
-def _scan(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("bit"))
+def _within_components(placed: DataFrame, joined: DataFrame | None) -> DataFrame:
+    """``placed`` with the component of each class so far (its own number at first)."""
+    if joined is None:
+        return placed.withColumn("comp", F.col("doc_id"))
+    return placed.join(joined.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("component")
 
 
-def meeting(docs: DataFrame, pairs: DataFrame, heavy) -> DataFrame:
-    """The pairs (a, b) whose prefixes share a token under the second and under the third order."""
-    sides = _scan(docs).mapInArrow(_further_prefixes(_bit_map(pairs), heavy), "doc_id long, p2 array<int>, p3 array<int>")
-    left = sides.select(F.col("doc_id").alias("a"), F.col("p2").alias("a2"), F.col("p3").alias("a3"))
-    right = sides.select(F.col("doc_id").alias("b"), F.col("p2").alias("b2"), F.col("p3").alias("b3"))
-    return pairs.join(right, "b").join(left, "a").where("arrays_overlap(a2, b2) and arrays_overlap(a3, b3)").select("a", "b").distinct()
+_FIT = "5 * least(x.n, y.n) >= 4 * greatest(x.n, y.n) and 9 * least(x.n - x.at, y.n - y.at) >= 4 * (x.n + y.n)"
 
 
-def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose shingle sets have 80 % or more in common.
+def _with_leaders(shared: DataFrame, joined: DataFrame | None, turn: int) -> DataFrame:
+    """Pairs of a class and the leader of a posting list of the first order.
 
-    Only documents of some pair send their sets, see ``_bit_map``.
+    Each list draws its leader by hash, another one in each turn and each group of
+    tokens (see ``DRAWS``). Only lists whose classes lie in
+    several components so far, only pairs of different components whose sizes, places in the
+    list's prefixes and bitmaps allow a link.
     """
-    sets = _scan(docs).mapInArrow(_sets(_bit_map(pairs)), "doc_id long, tokens array<long>")
-    left = sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("ta"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("tb"))
-    both = pairs.select("a", "b").join(right, "b").join(left, "a").withColumn("common", F.size(F.array_intersect("ta", "tb")))
-    return both.where("100 * common >= 80 * (size(ta) + size(tb) - common)").select("a", "b").distinct()
+    rows = _within_components(shared, joined)
+    drawn = F.struct(F.xxhash64("doc_id", F.pmod("token", F.lit(DRAWS[turn])), F.lit(turn)).alias("draw"), "doc_id", "comp", "n", "at", "bits")
+    lead = rows.groupBy("token").agg(F.min(drawn).alias("y"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token", "y")
+    pairs = rows.alias("x").join(lead, "token").where(f"x.comp <> y.comp and {_FIT} and " + _near("x.bits", "y.bits", "x.n", "y.n"))
+    return pairs.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
+
+
+def _across_components(shared: DataFrame, joined: DataFrame) -> DataFrame:
+    """All pairs of classes of different components that share a prefix token of the first order and may link."""
+    rows = _within_components(shared, joined)
+    mixed = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
+    rows = checkpoint(rows.join(mixed, "token", "left_semi"))
+    # the smaller set of a linked pair shares 8/9 of its tokens, so its prefix can be shorter
+    x, y = rows.where("at < n - (8 * n + 8) div 9 + 1").alias("x"), rows.alias("y")
+    test = f"x.token = y.token and x.comp <> y.comp and (x.n < y.n or (x.n = y.n and x.doc_id < y.doc_id)) and {_FIT} and " + _near("x.bits", "y.bits", "x.n", "y.n")
+    return x.join(y, F.expr(test)).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
+
+
+def _overlaps(own: np.ndarray, h: np.ndarray, left: np.ndarray, right: np.ndarray, n: int, step: int = 4096) -> np.ndarray:
+    """Tokens that each set of ``left`` shares with each of ``right``, as products of incidence blocks."""
+    out = np.zeros((len(left), len(right)), np.float32)
+    column = np.unique(h, return_inverse=True)[1]
+    order = np.argsort(column, kind="stable")
+    own, column = own[order], column[order]
+    cuts = np.searchsorted(column, np.arange(0, (column[-1] if len(column) else -1) + step, step))
+    for k, (i, j) in enumerate(zip(cuts, cuts[1:])):
+        block = np.zeros((n, step), np.float32)
+        block[own[i:j], column[i:j] - k * step] = 1
+        out += block[left] @ block[right].T
+    return out
 
 
-def _stars(own: DataFrame, joined: DataFrame | None, turn: int) -> DataFrame:
-    """Pairs of a class and one leading class of the same min-hash, over the min-hashes of this turn.
+def _tile_links(heavy):
+    """Number of links of each class to the classes of the other side of its tile (all of the tile on the diagonal)."""
 
-    The first turn's leader is the smallest number, later ones draw it by hash, so that a class
-    meets other leaders in each turn. Only pairs of different components so far, of sizes and
-    bitmaps that may link, and of sketches that agree in four of twelve places (linked ones
-    agree in nearly ten on average).
+    def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        orders = _Orders(heavy.value)
+        pdf = pdf.sort_values("doc_id").reset_index(drop=True)
+        n = np.array([len(t) for t in pdf["tokens"]])
+        own, h = np.repeat(np.arange(len(n)), n), np.concatenate(list(pdf["tokens"])).view(np.uint64)
+        i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
+        left, right = np.flatnonzero(pdf["block"] == i), np.flatnonzero(pdf["block"] == j)
+        sizes = n[left][:, None], n[right][None, :]
+        may = 5 * np.minimum(*sizes) >= 4 * np.maximum(*sizes)
+        if i == j:
+            may &= left[:, None] < right[None, :]
+        for who, token in orders.prefixes(own, h, n, range(ORDERS)):
+            may &= _overlaps(who, token, left, right, len(n)) > 0
+        links = np.zeros(len(n), np.int64)
+        rows, cols = np.flatnonzero(may.any(1)), np.flatnonzero(may.any(0))
+        if len(rows):
+            common = _overlaps(own, h, left[rows], right[cols], len(n))
+            hold = may[np.ix_(rows, cols)] & (100 * common >= 80 * (n[left[rows]][:, None] + n[right[cols]][None, :] - common))
+            np.add.at(links, left[rows], hold.sum(1))
+            np.add.at(links, right[cols], hold.sum(0))
+        return pd.DataFrame({"doc_id": pdf["doc_id"], "n": links})
+
+    return count
+
+
+def count_links(docs: DataFrame, linked: DataFrame, heavy, repeated: bool = True) -> DataFrame:
+    """(node, n_links): for each class of ``linked`` (node, component), the classes that it links with.
+
+    A component of two has one link. Larger ones are dealt out in tiles of two blocks of about
+    ``TILE`` classes; a task compares the two blocks of its tile, by prefixes under all orders and
+    then by whole sets, and returns sums only.
     """
-    rows = own.select("doc_id", "n_shingles", "sketch", "bits")
-    if joined is None:
-        rows = rows.withColumn("comp", F.col("doc_id"))
-    else:
-        rows = rows.join(joined, rows.doc_id == joined.node, "left").select("doc_id", "n_shingles", "sketch", "bits", F.coalesce("component", "doc_id").alias("comp"))
-    flat = rows.select("doc_id", "n_shingles", "comp", "sketch", "bits", F.posexplode(F.slice("sketch", 1, STARS[turn])).alias("k", "low"))
-    lead = F.xxhash64("doc_id", "k", F.lit(turn)) if turn else F.col("doc_id")
-    top = (
-        flat.groupBy("k", "low").agg(F.min(F.struct(lead.alias("lead"), "comp", "doc_id", "n_shingles", "sketch", "bits")).alias("top"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-        .where("lo < hi")
+    sizes = linked.groupBy("component").agg(F.count("*").alias("k"))
+    placed = checkpoint(linked.join(sizes, "component"))
+    many = placed.where("k > 2").select("component", F.col("node").alias("doc_id"), F.ceil(F.col("k") / TILE).cast("int").alias("blocks"))
+    of = sides(docs, many.select("doc_id"), heavy, repeated).select("doc_id", "tokens")
+    block = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.col("blocks")).cast("int")
+    tiles = (
+        many.join(of, "doc_id").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("component", "doc_id", "tokens", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     )
-    alike = F.size(F.filter(F.zip_with("sketch", "top.sketch", lambda x, y: x == y), lambda x: x))
-    return (
-        flat.join(top, ["k", "low"]).where("comp <> top.comp and 5 * least(n_shingles, top.n_shingles) >= 4 * greatest(n_shingles, top.n_shingles)")
-        .where(_near("bits", "top.bits", "n_shingles", "top.n_shingles")).where(alike >= 4)
-        .select(F.least("top.doc_id", "doc_id").alias("a"), F.greatest("top.doc_id", "doc_id").alias("b")).distinct()
+    counted = tiles.groupBy("component", "i", "j").applyInPandas(_tile_links(heavy), "doc_id long, n long")
+    return placed.where("k = 2").select("node", F.lit(1).cast("long").alias("n_links")).unionByName(
+        counted.groupBy(F.col("doc_id").alias("node")).agg(F.sum("n").alias("n_links"))
     )
 
 
@@ -253,63 +325,53 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     A document's set holds its distinct five-word shingles (words lower-cased A-Z, cut at
     white space); with fewer words the whole sequence; without words nothing. Two documents
     link when 100 x intersection >= 80 x union. ``class_id`` is the smallest number with the same
-    set, ``component_id`` the smallest number reachable over links, ``n_links`` the verified
-    links of the class that were needed to connect it. Null and empty texts are linked with
-    nothing. Rows with a null number are left out; repeated rows of a number count once, and
-    where a number bears several texts one of them (the greatest) stands for it.
-
-    1. Documents of equal set become one class. 2. Each class is compared with the first class
-    of the same min-hash (four of them, then twice drawn ones of twelve for what is not yet in that
-    component), which connects large groups of near copies with few comparisons. 3. Classes of
-    different components are candidates if they share a prefix token under the first order, early
-    enough for the rest to hold the needed tokens, and their parity bitmaps allow a link; the
-    prefixes under the second and third order must meet as well; what passes all filters is
-    verified on the whole sets.
+    set, ``component_id`` the smallest number reachable over links, ``n_links`` the number of other
+    classes that the class links with. Null and empty texts are linked with nothing. Rows with a
+    null number are left out; repeated rows of a number count once, and where a number bears
+    several texts one of them (the greatest) stands for it.
+
+    1. Documents of equal set become one class. 2. The tokens of each class are put in three global
+    orders (frequent ones last); a linked pair shares a token among the first 20 % under each of
+    them. Pairs that share one under the first order, early enough for the rest to hold the needed
+    tokens, are candidates; their prefixes under the second and third order must meet as well;
+    only what passes all three is verified on the whole sets. 3. So that a large group of near
+    copies costs few pairs, each posting list of the first order is first asked only for the
+    pairs of one drawn leader, twice; then all pairs of classes that are still in different
+    components follow, so no component is missed. 4. Within the components all links are counted
+    in tiles, through the same three orders.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
     sc = docs.sparkSession.sparkContext
     heavy = sc.broadcast(frequent_shingles(rows))
-    schema = "doc_id long, n_shingles long, s1 long, s2 long, sketch array<long>, prefix array<long>, bits array<long>"
+    schema = "doc_id long, n_shingles long, s1 long, s2 long, prefix array<long>, bits array<long>"
     marked = checkpoint(rows.mapInArrow(_signatures(heavy), schema))
     once = marked.groupBy("doc_id").agg(F.max(F.struct("n_shingles", "s1", "s2")).alias("s")).select("doc_id", "s.*")
     filled = once.where("n_shingles > 0")
-    classes = filled.groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("class_id"))
+    classes = checkpoint(filled.groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("class_id")))
     members = checkpoint(once.join(classes, ["n_shingles", "s1", "s2"], "left").select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), "s1", "s2"))
+    repeated = marked.count() > members.count()
     leaders = members.where("doc_id = class_id and n_shingles > 0").select(F.col("doc_id").alias("leader"), F.col("s1").alias("l1"), F.col("s2").alias("l2"))
-    # one row for each class, with its sketch and prefix
-    own = marked.join(leaders, F.expr("doc_id = leader and s1 = l1 and s2 = l2"), "left_semi")
-
-    easy, joined = None, None
-    for turn in range(len(STARS)):
-        near = checkpoint(_stars(own, joined, turn))
-        more = checkpoint(verified(rows, near))
-        easy = more if easy is None else easy.unionByName(more)
-        joined = checkpoint(connected_components(easy))
-
-    placed = own.join(joined, own.doc_id == joined.node, "left").select("doc_id", F.coalesce("component", "doc_id").alias("comp"), "n_shingles", "prefix")
-    posting = placed.select("doc_id", "comp", "n_shingles", F.posexplode("prefix").alias("at", "token")).select(
-        "token", "doc_id", "comp",
-        F.expr("shiftleft(n_shingles, 30) + at").alias("size"),
-    )
-    same = Window.partitionBy("token")
-    mixed = checkpoint(
-        posting.withColumn("lo", F.min("comp").over(same)).withColumn("hi", F.max("comp").over(same)).where("lo < hi")
-        .select("token", "doc_id", "comp", F.expr("shiftright(size, 30)").alias("n"), F.expr("size & 1073741823").alias("at"))
-        .join(own.select("doc_id", "bits"), "doc_id")
-    )
-    may_link = "5 * x.n >= 4 * y.n and 9 * (least(x.n - x.at, y.n - y.at)) >= 4 * (x.n + y.n) and " + _near("x.bits", "y.bits", "x.n", "y.n")
-    x, y = mixed.where("at < n - (8 * n + 8) div 9 + 1").alias("x"), mixed.alias("y")
-    first = (
-        x.join(y, F.expr(f"x.token = y.token and x.comp <> y.comp and (x.n < y.n or (x.n = y.n and x.doc_id < y.doc_id)) and {may_link}"))
-        .select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
+    # one row for each class, with its prefix
+    own = marked.join(leaders, F.expr("doc_id = leader and s1 = l1 and s2 = l2"), "left_semi").dropDuplicates(["doc_id"])
+
+    posting = own.select(F.posexplode("prefix").alias("at", "token"), "doc_id", "n_shingles").select(
+        "token", "doc_id", F.expr("shiftleft(n_shingles, 30) + at").alias("size")
     )
-    second = checkpoint(meeting(rows, checkpoint(first), heavy))
-    links = easy.unionByName(checkpoint(verified(rows, second)))
-    linked = connected_components(links)
-    degree = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
+    often = posting.withColumn("m", F.count("*").over(Window.partitionBy("token"))).where("m > 1")
+    placed = often.select("token", "doc_id", F.expr("shiftright(size, 30)").alias("n"), F.expr("size & 1073741823").alias("at"))
+    shared = checkpoint(placed.join(own.select("doc_id", "bits"), "doc_id"))
+
+    links, joined = None, None
+    for turn in range(len(DRAWS) + 1):
+        first = _with_leaders(shared, joined, turn) if turn < len(DRAWS) else _across_components(shared, joined)
+        more = _links(rows, first, heavy, repeated)
+        links = more if links is None else links.unionByName(more)
+        joined = checkpoint(connected_components(links))
+    linked = joined.select(F.col("node").alias("class_id"), F.col("component").alias("component_id"))
+    degree = count_links(rows, joined, heavy, repeated).withColumnRenamed("node", "class_id")
     return (
-        members.join(linked.withColumnRenamed("node", "class_id"), "class_id", "left").join(degree.withColumnRenamed("node", "class_id"), "class_id", "left")
-        .select("doc_id", "n_shingles", "class_id", F.coalesce("component", "class_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+        members.join(linked, "class_id", "left").join(degree, "class_id", "left")
+        .select("doc_id", "n_shingles", "class_id", F.coalesce("component_id", "class_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     )
 
 

@@ -26,7 +26,9 @@ def op1_quality_crf(spark, sf_dir):
 def op2_jaccard_join(spark, sf_dir):
     from tapeworks.llm.jaccard_join import near_duplicates
 
-    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+    return near_duplicates(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_shingles", "component_id", "class_id", "n_links"
+    )
 
 
 def op4_decontaminate(spark, sf_dir):
@@ -106,9 +108,13 @@ p as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.
 l as (select a, b from p join n x on p.a = x.doc_id join n y on p.b = y.doc_id where 100 * c >= 80 * (x.n + y.n - c)),
 e as (select a, b from l union all select b, a from l),
 r as (select doc_id as node, doc_id as root from w union select e.b, r.root from r join e on r.node = e.a),
-c as (select node, min(root) as root from r group by node)
-select w.doc_id, coalesce(n.n, 0) as n_shingles, c.root as component_id
-from w left join n on w.doc_id = n.doc_id join c on c.node = w.doc_id
+c as (select node, min(root) as root from r group by node),
+q as (select a, b from p join n x on p.a = x.doc_id join n y on p.b = y.doc_id where c = x.n and c = y.n),
+k as (select w.doc_id, least(w.doc_id, coalesce(min(q.a), w.doc_id)) as class_id from w left join q on q.b = w.doc_id group by w.doc_id),
+d as (select e.a, count(distinct y.class_id) as n_links from e join k x on x.doc_id = e.a join k y on y.doc_id = e.b
+  where x.class_id <> y.class_id group by e.a)
+select w.doc_id, coalesce(n.n, 0) as n_shingles, c.root as component_id, k.class_id, coalesce(d.n_links, 0) as n_links
+from w left join n on w.doc_id = n.doc_id join c on c.node = w.doc_id join k on k.doc_id = w.doc_id left join d on d.a = w.doc_id
 """,
     "op7_line_dedup": r"""
 with l as (select doc_id, coalesce(text, '') as text, string_split(coalesce(text, ''), chr(10)) as ls from documents),

@@ -68,12 +68,12 @@ def test_against_brute_force(spark, near_copies, monkeypatch):
     def counted_meeting(of, pairs):
         out = meet(of, pairs)
         asked.append(pairs.count())
-        held.append({(r["a"], r["b"]) for r in out.collect()})
+        held.append({(r["a"], r["b"]) for r in out.select("a", "b").collect()})
         return out
 
-    def counted_verified(of, pairs):
-        checked.append({(r["a"], r["b"]) for r in pairs.collect()})
-        return verify(of, pairs)
+    def counted_verified(met):
+        checked.append({(r["a"], r["b"]) for r in met.select("a", "b").collect()})
+        return verify(met)
 
     monkeypatch.setattr(jaccard_join, "meeting", counted_meeting)
     monkeypatch.setattr(jaccard_join, "verified", counted_verified)
