@@ -19,6 +19,27 @@ def asof(left: DataFrame, right: DataFrame, by: list[str], at: str, known: str,
     return both.withColumn(out, F.last(F.when(F.col("__side") == 0, F.col(out)), ignorenulls=True).over(w)).where("__side = 1").drop("__t", "__side")
 
 
+def asof_next(left: DataFrame, right: DataFrame, by: list[str], at: str, known: str, take: list[str], out: str) -> DataFrame:
+    """``left`` with a struct ``out`` of the first ``right`` row whose ``known`` time is not before ``at``; null without one."""
+    l = left.withColumn("__t", F.col(at)).withColumn("__side", F.lit(0)).withColumn(out, F.lit(None).cast(_struct(right, take)))
+    r = right.select(*by, F.col(known).alias("__t"), F.lit(1).alias("__side"), F.struct(*take).alias(out))
+    w = Window.partitionBy(*by).orderBy("__t", "__side").rowsBetween(0, Window.unboundedFollowing)
+    both = l.unionByName(r, allowMissingColumns=True)
+    return both.withColumn(out, F.first(F.when(F.col("__side") == 1, F.col(out)), ignorenulls=True).over(w)).where("__side = 0").drop("__t", "__side")
+
+
+def asof_filled(left: DataFrame, right: DataFrame, by: list[str], at: str, known: str, value: str, fill) -> DataFrame:
+    """``left`` with ``value`` of the last ``right`` row not after ``at``, ``fill`` where there is none or it is null (masks, labels)."""
+    got = asof(left, right, by, at, known, [value], "__asof")
+    return got.withColumn(value, F.coalesce(F.col(f"__asof.{value}"), F.lit(fill))).drop("__asof")
+
+
+def clear_of_earnings(bars: DataFrame, earnings: DataFrame, days_before: int, days_after: int) -> DataFrame:
+    """Bars whose date is not within ``days_before`` days before to ``days_after`` days after an earnings date of their symbol."""
+    near = earnings.select("symbol", F.explode(F.sequence(F.date_sub("d", days_before), F.date_add("d", days_after))).alias("__d")).distinct()
+    return bars.withColumn("__d", F.to_date("ts")).join(near, ["symbol", "__d"], "left_anti").drop("__d")
+
+
 def _struct(df: DataFrame, take: list[str]) -> str:
     kinds = dict(df.dtypes)
     return "struct<" + ",".join(f"{c}:{kinds[c]}" for c in take) + ">"

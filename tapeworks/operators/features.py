@@ -54,6 +54,14 @@ def ge(a, b) -> Column:
     return F.coalesce(_c(a) >= _c(b), F.lit(False))
 
 
+def eq(a, b) -> Column:
+    return F.coalesce(_c(a) == _c(b), F.lit(False))
+
+
+def ne(a, b) -> Column:
+    return F.coalesce(_c(a) != _c(b), F.lit(True))
+
+
 def le(a, b) -> Column:
     return F.coalesce(_c(a) <= _c(b), F.lit(False))
 
@@ -284,3 +292,14 @@ def candle_score(names: list[str], near: Column | None = None) -> Column:
     """Sum of detectors over 100, nothing away from the level."""
     total = sum((F.col(n) / 100 for n in names), F.lit(0.0))
     return total if near is None else F.when(near, total).otherwise(0.0)
+
+
+def cross_free_signals(d: DataFrame) -> DataFrame:
+    """Eight yes-or-no signals (``sig_`` columns) of bars that bear their candles; a missing value is a no."""
+    d = macd(rsi(ema(ema(d, 20, "__e20"), 50, "__e50"), 14, "__rsi"))
+    found = lambda c: F.coalesce(F.col(c) != 0, F.lit(False))
+    return d.withColumns({
+        "sig_ema20_above_ema50": gt("__e20", "__e50"), "sig_rsi14_below_30": lt("__rsi", 30), "sig_rsi14_above_70": gt("__rsi", 70),
+        "sig_macd_above_signal": gt("macd", "macdsignal"), "sig_donchian20_breakout": gt("close", highest("high", 20)),
+        "sig_cdl_engulfing": found("engulfing"), "sig_cdl_hammer": found("hammer"), "sig_cdl_doji": found("doji"),
+    })

@@ -79,6 +79,29 @@ def exit_reasons(trades: DataFrame, key: str = "strategy") -> DataFrame:
     return trades.groupBy(key, F.split("exit_reason", ":")[0].alias("reason")).agg(F.count("*").alias("n"))
 
 
+def kelly_fraction(p: Column, payoff: Column) -> Column:
+    return p - F.try_divide(1 - p, payoff)
+
+
+def leverage_gate(ruin: Column, evidence: Column, most: Column) -> Column:
+    """Leverage allowed for a stressed ruin chance and the evidence: none, positive, validated or arbitrage."""
+    proven = evidence.isin("validated", "arbitrage")
+    return (
+        F.when(ruin > 0.10, 0.0).when(ruin > 0.02, F.when(proven | (evidence == "positive"), 1.0).otherwise(0.0))
+        .when(ruin > 0.005, F.when(proven, 0.5 * most).otherwise(1.0))
+        .otherwise(F.when(evidence == "arbitrage", 0.7 * most).when(evidence == "validated", 0.5 * most).otherwise(1.0))
+    )
+
+
+def summary(returns: DataFrame, trades: DataFrame, key: str = "strategy") -> DataFrame:
+    """Per strategy: first and last day, total return, yearly growth over 365.25 days, ``return_stats`` and ``trade_stats``."""
+    s = return_stats(returns, key)
+    span = returns.groupBy(key).agg(F.min("d").alias("start"), F.max("d").alias("end"))
+    years = (F.unix_micros(F.col("end").cast("timestamp")) - F.unix_micros(F.col("start").cast("timestamp"))) / 86400e6 / 365.25
+    growth = F.when(F.col("total_return") <= -1, -1.0).when(years > 0, F.pow(1 + F.col("total_return"), 1 / years) - 1).otherwise(0.0)
+    return s.join(span, key).withColumn("cagr", growth).join(trade_stats(trades, key), key, "left")
+
+
 def drawdown_scale(drawdown: Column) -> Column:
     return F.greatest(F.lit(0.0), 1 - F.abs(drawdown) * 0.5 / 0.2)
 
@@ -113,7 +136,7 @@ def bootstrap_ruin(
     return trades.select(key).distinct().join(ruined, key, "left").select(key, F.coalesce("ruin", F.lit(1.0)).alias("ruin"))
 
 
-def water_fill(rows: DataFrame, budget: float, group: list[str]) -> DataFrame:
+def water_fill(rows: DataFrame, budget: Column | float, group: list[str]) -> DataFrame:
     """``share``: the budget split by score, none above its cap, in closed form.
 
     Ordered by cap / score, a row is capped if its ratio is under the level that the rest would get.
@@ -122,7 +145,7 @@ def water_fill(rows: DataFrame, budget: float, group: list[str]) -> DataFrame:
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*group)
     r = rows.where("score > 0 and cap > 0").withColumn("ratio", F.col("cap") / F.col("score"))
-    left = F.lit(budget) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))
+    left = (budget if isinstance(budget, Column) else F.lit(budget)) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))
     rest = F.sum("score").over(whole) - F.coalesce(F.sum("score").over(before), F.lit(0.0))
     r = r.withColumn("level", left / rest)
     found = F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", "level"))).over(whole)

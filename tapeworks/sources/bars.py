@@ -113,15 +113,27 @@ def session_dates(bars: DataFrame, zone: str = "America/New_York") -> DataFrame:
     return bars.withColumn("d", d).withColumn("__n", F.row_number().over(last)).where("__n = 1").drop("__n", "ts")
 
 
+def _walk(steps: DataFrame, bin_: str, order: list[str], start: int) -> DataFrame:
+    """``tick``: the running sum of ``st`` over a symbol's steps, from ``start``.
+
+    Sums of whole bins are added up first (they combine before the shuffle and are few), so only
+    the steps of one (symbol, bin) are ever sorted together.
+    """
+    sums = steps.groupBy("symbol", bin_).agg(F.sum("st").alias("__sum"))
+    past = Window.partitionBy("symbol").orderBy(bin_).rowsBetween(Window.unboundedPreceding, -1)
+    base = sums.select("symbol", bin_, F.coalesce(F.sum("__sum").over(past), F.lit(0)).alias("__base"))
+    own = Window.partitionBy("symbol", bin_).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return steps.join(base, ["symbol", bin_]).withColumn("tick", start + F.col("__base") + F.sum("st").over(own)).drop("__base")
+
+
 def daily_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily bars walked from line items: one symbol for each flag and status, prices in integer ticks."""
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
     t = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
         F.concat("l_returnflag", "l_linestatus").alias("symbol"), F.col("l_shipdate").alias("ts"), F.col("l_quantity").cast("long").alias("q"),
-        (F.round(F.col("l_discount") * 100).cast("long") - 5).alias("st"),
-        F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice").alias("k"),
+        (F.round(F.col("l_discount") * 100).cast("long") - 5).alias("st"), *order,
     )
-    w = Window.partitionBy("symbol").orderBy("k")
-    p = t.withColumn("tick", 10000 + F.sum("st").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    p = _walk(t, "ts", order, 10000).withColumn("k", F.struct(*order))
     return p.groupBy("symbol", "ts").agg(
         F.lit("D1").alias("tf"), (F.min_by("tick", "k") / F.lit(100.0)).alias("open"), (F.max("tick") / F.lit(100.0)).alias("high"),
         (F.min("tick") / F.lit(100.0)).alias("low"), (F.max_by("tick", "k") / F.lit(100.0)).alias("close"), F.sum("q").cast("double").alias("volume"),
@@ -133,11 +145,30 @@ def hourly_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     pair = F.create_map(*[F.lit(x) for x in ("click", "EUR_USD", "view", "GBP_USD", "purchase", "AUD_USD", "error", "USD_JPY", "signup", "EUR_JPY")])
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select(
         pair[F.col("event_type")].alias("symbol"), "ts", "event_id", F.round(F.col("value") * 100).cast("long").alias("q"),
-        (2 * F.get_json_object("props", "$.k").cast("long") - 99).alias("st"),
+        (2 * F.get_json_object("props", "$.k").cast("long") - 99).alias("st"), F.date_trunc("hour", "ts").alias("h"),
     )
-    w = Window.partitionBy("symbol").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    p = e.withColumn("tick", 110000 + F.sum("st").over(w)).withColumn("k", F.struct("ts", "event_id"))
+    p = _walk(e, "h", ["ts", "event_id"], 110000).withColumn("k", F.struct("ts", "event_id"))
     scale = F.when(F.col("symbol").endswith("JPY"), 1000.0).otherwise(100000.0)
-    return p.groupBy("symbol", F.date_trunc("hour", "ts").alias("h")).agg(
+    return p.groupBy("symbol", "h").agg(
         F.min_by("tick", "k").alias("o"), F.max("tick").alias("hi"), F.min("tick").alias("lo"), F.max_by("tick", "k").alias("c"), F.sum("q").alias("q")
     ).select("symbol", F.lit("H1").alias("tf"), F.col("h").alias("ts"), *[(F.col(a) / scale).alias(b) for a, b in zip(("o", "hi", "lo", "c"), PRICES)], (F.col("q") / 100.0).alias("volume"))
+
+
+def universe_bars(spark: SparkSession, sf_dir: str, symbols: int = 25) -> DataFrame:
+    """Daily bars of ``symbols`` symbols walked from line items by part, reflected to stay between 50 and 150."""
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
+    t = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
+        F.concat(F.lit("U"), F.lpad((F.col("l_partkey") % symbols).cast("string"), 2, "0")).alias("symbol"), F.col("l_shipdate").alias("ts"),
+        F.col("l_quantity").cast("long").alias("q"), (F.round(F.col("l_discount") * 100).cast("long") - 5).alias("st"), *order,
+    )
+    m = F.pmod(F.col("tick"), F.lit(400))
+    p = _walk(t, "ts", order, 0).withColumn("price", 50 + F.abs(m - 200) * 0.5).withColumn("k", F.struct(*order))
+    return p.groupBy("symbol", "ts").agg(
+        F.lit("D1").alias("tf"), F.min_by("price", "k").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"),
+        F.max_by("price", "k").alias("close"), F.sum("q").cast("double").alias("volume"),
+    ).select("symbol", "tf", "ts", *PRICES, "volume")
+
+
+def timeline(bars: DataFrame) -> DataFrame:
+    """The distinct bar times of all symbols."""
+    return bars.select("ts").distinct()
