@@ -13,8 +13,9 @@ from tapeworks.llm.hashing import chunks, mix, shingle_sets
 from tapeworks.operators.components import connected_components
 
 ORDERS = 3
-DRAWS = (1, 8)  # in each leader round, the groups of tokens that draw their leaders apart
-TILE = 256  # classes of a component that meet as many others in one task
+DRAWS = (1, 16, 64)  # in each leader round, the groups of tokens that draw their leaders apart
+TILE = 512  # classes of a component that meet as many others in one task
+HEAD = 16  # tokens at the start of a prefix that tell whether a pair has already met
 WORDS = 4  # 64-bit words of a parity bitmap
 FILTER_BITS = 1 << 24
 
@@ -76,6 +77,27 @@ def _parities(first: np.ndarray, has: np.ndarray, h: np.ndarray) -> np.ndarray:
     return out
 
 
+def _fine_parities(own: np.ndarray, h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same over a power of two of at least twice as many bits as the set has tokens (256 at least): words and their number per set.
+
+    A bit is a token's hash in its lowest places, so the two halves of a bitmap, put together
+    by xor, are the bitmap of half the size.
+    """
+    size = np.maximum(4, 1 << np.ceil(np.log2(np.maximum(n, 1) / 32)).astype(np.int64).clip(0))
+    first = np.cumsum(size) - size
+    words = np.zeros(int(size.sum()), np.uint64)
+    bit = mix(h ^ np.uint64(0x6A09E667F3BCC909)) & (size[own].astype(np.uint64) * np.uint64(64) - np.uint64(1))
+    np.bitwise_xor.at(words, first[own] + (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
+    return words, size
+
+
+def _fine_near(x: str, y: str) -> str:
+    """SQL test as ``_near`` over bitmaps that fit the sets' sizes; the longer one is folded."""
+    fold = lambda a, b: f"if(size({a}.fine) > size({b}.fine), zip_with(slice({a}.fine, 1, size({b}.fine)), slice({a}.fine, size({b}.fine) + 1, size({b}.fine)), (p, q) -> p ^ q), {a}.fine)"
+    apart = f"aggregate(zip_with({fold(x, y)}, {fold(y, x)}, (p, q) -> bit_count(p ^ q)), 0, (s, v) -> s + v)"
+    return f"9 * {apart} <= {x}.n_shingles + {y}.n_shingles"
+
+
 def _near(bits: str, other: str, n: str, m: str) -> str:
     """SQL test that no linked pair fails: at 80 % in common, sets differ in at most a ninth of their sizes."""
     return "9 * (" + " + ".join(f"bit_count({bits}[{k}] ^ {other}[{k}])" for k in range(WORDS)) + f") <= {n} + {m}"
@@ -134,12 +156,14 @@ def _signatures(shared):
                 first = np.concatenate([[0], np.cumsum(n)[:-1]])
                 has = n > 0
                 sums = _sums(first, has, h)
+                fine, size = _fine_parities(own, h, n)
                 ((who, token),) = orders.prefixes(own, h, n, [0])
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(i, m), pa.array(n.astype(np.int64)), *(pa.array(s.view(np.int64)) for s in sums),
                      _lists(token.view(np.int64), who, m, np.int64),
-                     _lists(_parities(first, has, h).ravel().view(np.int64), np.repeat(np.arange(m), WORDS), m, np.int64)],
-                    ["doc_id", "n_shingles", "s1", "s2", "prefix", "bits"],
+                     _lists(_parities(first, has, h).ravel().view(np.int64), np.repeat(np.arange(m), WORDS), m, np.int64),
+                     _lists(fine.view(np.int64), np.repeat(np.arange(m), size), m, np.int64)],
+                    ["doc_id", "n_shingles", "s1", "s2", "prefix", "bits", "fine"],
                 )
 
     return rows
@@ -212,9 +236,14 @@ def verified(met: DataFrame) -> DataFrame:
     return held.select("a", "b").distinct()
 
 
-def _links(docs: DataFrame, first: DataFrame, heavy, repeated: bool) -> DataFrame:
-    """Of the pairs that meet under the first order, those that meet under all others and then hold."""
-    first = checkpoint(first)
+def _links(docs: DataFrame, own: DataFrame, first: DataFrame, heavy, repeated: bool) -> DataFrame:
+    """Of the pairs that meet under the first order, those that meet under all others and then hold.
+
+    Bitmaps that fit the sets' sizes first tell most pairs that cannot link, so that few whole sets travel.
+    """
+    fine = own.select("doc_id", "n_shingles", "fine")
+    apart = first.join(fine.alias("x"), F.expr("a = x.doc_id")).join(fine.alias("y"), F.expr("b = y.doc_id"))
+    first = checkpoint(apart.where(_fine_near("x", "y")).select("a", "b"))
     of = sides(docs, first.select(F.explode(F.array("a", "b")).alias("doc_id")), heavy, repeated)
     return checkpoint(verified(meeting(of, first)))
 
@@ -248,10 +277,15 @@ def _across_components(shared: DataFrame, joined: DataFrame) -> DataFrame:
     """All pairs of classes of different components that share a prefix token of the first order and may link."""
     rows = _within_components(shared, joined)
     mixed = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
-    rows = checkpoint(rows.join(mixed, "token", "left_semi"))
+    rows = rows.join(mixed, "token", "left_semi")
+    heads = rows.where(F.col("at") < HEAD).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("at", "token"))).alias("head"))
+    rows = checkpoint(rows.join(heads, "doc_id", "left"))
     # the smaller set of a linked pair shares 8/9 of its tokens, so its prefix can be shorter
     x, y = rows.where("at < n - (8 * n + 8) div 9 + 1").alias("x"), rows.alias("y")
+    # of the tokens that a pair shares, the first makes the pair; those after one of both heads are passed over
+    before = lambda k: f"map_values(map_filter({k}.head, (at, t) -> at < {k}.at))"
     test = f"x.token = y.token and x.comp <> y.comp and (x.n < y.n or (x.n = y.n and x.doc_id < y.doc_id)) and {_FIT} and " + _near("x.bits", "y.bits", "x.n", "y.n")
+    test += f" and not coalesce(arrays_overlap({before('x')}, {before('y')}), false)"
     return x.join(y, F.expr(test)).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
 
 
@@ -319,7 +353,7 @@ def count_links(docs: DataFrame, linked: DataFrame, heavy, repeated: bool = True
     )
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", counts: bool = True) -> DataFrame:
     """(doc_id, n_shingles, class_id, component_id, n_links) for each document number.
 
     A document's set holds its distinct five-word shingles (words lower-cased A-Z, cut at
@@ -338,12 +372,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     copies costs few pairs, each posting list of the first order is first asked only for the
     pairs of one drawn leader, twice; then all pairs of classes that are still in different
     components follow, so no component is missed. 4. Within the components all links are counted
-    in tiles, through the same three orders.
+    in tiles, through the same three orders (not without ``counts``; ``n_links`` is then absent).
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
     sc = docs.sparkSession.sparkContext
     heavy = sc.broadcast(frequent_shingles(rows))
-    schema = "doc_id long, n_shingles long, s1 long, s2 long, prefix array<long>, bits array<long>"
+    schema = "doc_id long, n_shingles long, s1 long, s2 long, prefix array<long>, bits array<long>, fine array<long>"
     marked = checkpoint(rows.mapInArrow(_signatures(heavy), schema))
     once = marked.groupBy("doc_id").agg(F.max(F.struct("n_shingles", "s1", "s2")).alias("s")).select("doc_id", "s.*")
     filled = once.where("n_shingles > 0")
@@ -364,15 +398,15 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     links, joined = None, None
     for turn in range(len(DRAWS) + 1):
         first = _with_leaders(shared, joined, turn) if turn < len(DRAWS) else _across_components(shared, joined)
-        more = _links(rows, first, heavy, repeated)
+        more = _links(rows, own, first, heavy, repeated)
         links = more if links is None else links.unionByName(more)
         joined = checkpoint(connected_components(links))
     linked = joined.select(F.col("node").alias("class_id"), F.col("component").alias("component_id"))
+    out = members.join(linked, "class_id", "left").select("doc_id", "n_shingles", "class_id", F.coalesce("component_id", "class_id").alias("component_id"))
+    if not counts:
+        return out
     degree = count_links(rows, joined, heavy, repeated).withColumnRenamed("node", "class_id")
-    return (
-        members.join(linked, "class_id", "left").join(degree, "class_id", "left")
-        .select("doc_id", "n_shingles", "class_id", F.coalesce("component_id", "class_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    )
+    return out.join(degree, "class_id", "left").select(*out.columns, F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def keep_one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -386,7 +420,7 @@ def keep_one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     per = docs.where(key.isNotNull()).select(key.alias("__id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("__h"))
     often = checkpoint(per.groupBy("__id").agg(F.count("*").alias("n"), F.min("__h").alias("lo"), F.max("__h").alias("hi")).where("n > 1"))
     unclear = often.where("lo <> hi").select("__id")
-    gone = near_duplicates(docs, doc_id, text).where("doc_id <> component_id").select(F.col("doc_id").alias("__id"))
+    gone = near_duplicates(docs, doc_id, text, counts=False).where("doc_id <> component_id").select(F.col("doc_id").alias("__id"))
     rows = docs.join(gone.join(unclear, "__id", "left_anti"), key == F.col("__id"), "left_anti")
     if often.isEmpty():
         return rows
