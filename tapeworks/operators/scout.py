@@ -32,3 +32,37 @@ def watchlist(scores: DataFrame, always: int = 10, most: int = 20, least: float
     w = Window.partitionBy("ts").orderBy(F.col("score").desc(), "symbol")
     r = scores.withColumn("rank", F.row_number().over(w))
     return r.where((F.col("rank") <= always) | ((F.col("rank") <= most) & (F.col("score") >= least)))
+
+
+def news_scores(days: DataFrame, news: DataFrame) -> DataFrame:
+    """(symbol, ts, score, n) for each day's scan at ``ts``: min(3, ln(1 + n)) of the n items of the 24 hours up to it."""
+    spans = F.explode(F.array(F.to_date("ts"), F.date_sub(F.to_date("ts"), 1)))
+    near = days.select("ts", spans.alias("__d")).join(news.withColumn("__d", F.to_date("published")), "__d")
+    got = near.where((F.col("published") <= F.col("ts")) & (F.col("published") >= F.col("ts") - F.expr("interval 24 hours")))
+    return got.groupBy("symbol", "ts").agg(F.count("*").alias("n")).withColumn("score", F.least(F.lit(3.0), F.log1p("n")))
+
+
+# Weights of the sources
+WEIGHTS = {"technical": 1.0, "news": 1.0, "chatter": 0.5}
+
+
+def merged_scores(sources: dict[str, DataFrame], always_on: tuple[str, ...] = ("SPY", "QQQ")) -> DataFrame:
+    """(symbol, ts, score, direction, sources): weighted sums over the sources, symbols that are always on left out."""
+    parts = [
+        d.select("symbol", "ts", (F.lit(WEIGHTS.get(name, 1.0)) * F.col("score")).alias("score"), F.col("direction") if "direction" in d.columns else F.lit(0).alias("direction"), F.struct(F.lit(i).alias("i"), F.lit(name).alias("name")).alias("s"))
+        for i, (name, d) in enumerate(sources.items())
+    ]
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    names = F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["name"]), ",")
+    rows = rows.where(~F.col("symbol").isin(*always_on)) if always_on else rows
+    return rows.groupBy("symbol", "ts").agg(F.sum("score").alias("score"), F.signum(F.sum("direction")).cast("int").alias("direction"), names.alias("sources"))
+
+
+def scout_mask(picks: DataFrame, days: DataFrame, symbols: DataFrame, hold: int = 1) -> DataFrame:
+    """(symbol, ts, tradable) for each scan day and symbol: picked on that day or one of the ``hold`` - 1 scan days before."""
+    numbered = days.select("ts").distinct().withColumn("__i", F.row_number().over(Window.orderBy("ts")))
+    on = picks.select("symbol", "ts").distinct().join(numbered, "ts").select("symbol", F.explode(F.sequence("__i", F.col("__i") + hold - 1)).alias("__i")).distinct().withColumn("__on", F.lit(True))
+    grid = numbered.withColumn("symbol", F.explode(F.array(*[F.lit(r["symbol"]) for r in symbols.select("symbol").distinct().collect()])))  # one row for each symbol of the universe
+    return grid.join(on, ["symbol", "__i"], "left").select("symbol", "ts", F.coalesce("__on", F.lit(False)).alias("tradable"))
