@@ -13,9 +13,11 @@ from tapeworks.llm.hashing import chunks, mix, shingle_sets
 from tapeworks.operators.components import connected_components
 
 ORDERS = 3
-DRAWS = (1, 16, 64)  # in each leader round, the groups of tokens that draw their leaders apart
-TILE = 512  # classes of a component that meet as many others in one task
+DRAWS = (1, 16, 32)  # in each leader round, the groups of tokens that draw their leaders apart
+TILE = 1024  # classes of a component that meet as many others in one task
 HEAD = 16  # tokens at the start of a prefix that tell whether a pair has already met
+PIECE = 1 << 19  # bytes of text that are shingled at once
+FEW = 200_000  # classes whose numbers may be broadcast
 WORDS = 4  # 64-bit words of a parity bitmap
 FILTER_BITS = 1 << 24
 
@@ -29,7 +31,7 @@ def _frequent(batches):
     for batch in batches:
         found = []
         texts = list(dict.fromkeys(_texts(batch.column("text"))))
-        for i, j in chunks(texts):
+        for i, j in chunks(texts, PIECE):
             found.append(shingle_sets(texts[i:j])[1])
         if not found:
             continue
@@ -149,7 +151,7 @@ def _signatures(shared):
         orders = _Orders(shared.value)
         for batch in batches:
             texts, ids = _texts(batch.column("text")), batch.column("doc_id")
-            for i, j in chunks(texts):
+            for i, j in chunks(texts, PIECE):
                 m = j - i
                 own, h = shingle_sets(texts[i:j])
                 n = np.bincount(own, minlength=m)
@@ -175,7 +177,7 @@ def _members(batches, words: np.ndarray):
         bit = batch.column("bit").to_numpy()
         batch = batch.filter(pa.array((words[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1) == 1))
         texts, ids = _texts(batch.column("text")), batch.column("doc_id")
-        for i, j in chunks(texts):
+        for i, j in chunks(texts, PIECE):
             yield ids.slice(i, j - i), j - i, *shingle_sets(texts[i:j])
 
 
@@ -289,7 +291,7 @@ def _across_components(shared: DataFrame, joined: DataFrame) -> DataFrame:
     return x.join(y, F.expr(test)).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
 
 
-def _overlaps(own: np.ndarray, h: np.ndarray, left: np.ndarray, right: np.ndarray, n: int, step: int = 4096) -> np.ndarray:
+def _overlaps(own: np.ndarray, h: np.ndarray, left: np.ndarray, right: np.ndarray, n: int, step: int = 2048) -> np.ndarray:
     """Tokens that each set of ``left`` shares with each of ``right``, as products of incidence blocks."""
     out = np.zeros((len(left), len(right)), np.float32)
     column = np.unique(h, return_inverse=True)[1]
@@ -343,8 +345,9 @@ def count_links(docs: DataFrame, linked: DataFrame, heavy, repeated: bool = True
     many = placed.where("k > 2").select("component", F.col("node").alias("doc_id"), F.ceil(F.col("k") / TILE).cast("int").alias("blocks"))
     of = sides(docs, many.select("doc_id"), heavy, repeated).select("doc_id", "tokens")
     block = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.col("blocks")).cast("int")
+    near = F.broadcast(many) if many.count() <= FEW else many
     tiles = (
-        many.join(of, "doc_id").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        of.join(near, "doc_id").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("component", "doc_id", "tokens", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     )
     counted = tiles.groupBy("component", "i", "j").applyInPandas(_tile_links(heavy), "doc_id long, n long")
