@@ -98,34 +98,34 @@ def mix_sources(
     z = shares.where("n_tokens > 0").agg(F.sum(power).alias("z"), F.max(F.col("n_tokens") / power).alias("m")).first()
     tokens = float(budget) if budget is not None else float((z["m"] or 0.0) * (z["z"] or 0.0))
     plan = shares.select(
-        "source_key", "n_docs", F.col("n_tokens").alias("source_tokens"),
+        F.col("source_key").alias("__key"), "n_docs", F.col("n_tokens").alias("__source_tokens"),
         F.when(F.col("n_tokens") > 0, power / F.lit(z["z"] or 1.0)).otherwise(0.0).alias("weight"),
-        F.ceil(F.col("n_docs") / F.lit(block_docs)).alias("n_blocks"),
+        F.ceil(F.col("n_docs") / F.lit(block_docs)).alias("__n_blocks"),
     )
-    plan = plan.withColumn("asked", F.col("weight") * F.lit(tokens)).withColumn(
-        "epochs", F.when(F.col("source_tokens") > 0, F.floor(F.col("asked") / F.col("source_tokens") + F.lit(1e-9))).otherwise(1)
-    ).withColumn("rest", F.greatest(F.col("asked") - F.col("epochs") * F.col("source_tokens"), F.lit(0.0)))
+    plan = plan.withColumn("__asked", F.col("weight") * F.lit(tokens)).withColumn(
+        "__epochs", F.when(F.col("__source_tokens") > 0, F.floor(F.col("__asked") / F.col("__source_tokens") + F.lit(1e-9))).otherwise(1)
+    ).withColumn("__rest", F.greatest(F.col("__asked") - F.col("__epochs") * F.col("__source_tokens"), F.lit(0.0)))
     plan = checkpoint(plan)
     few = plan.count() <= 10_000
     near = F.broadcast(plan) if few else plan
 
-    rows = docs.withColumn("source_key", F.coalesce(F.col(source), F.lit(NO_SOURCE))).withColumn("__n_tokens", n_tokens(F.col(text)))
+    rows = docs.withColumn("__key", F.coalesce(F.col(source), F.lit(NO_SOURCE))).withColumn("__n_tokens", n_tokens(F.col(text)))
     spread = F.xxhash64(F.col(doc_id), F.lit(seed))
-    placed = rows.join(near.select("source_key", "n_blocks"), "source_key").withColumn("__block", F.pmod(spread, F.col("n_blocks"))).drop("n_blocks")
-    blocks = placed.groupBy("source_key", "__block").agg(F.sum("__n_tokens").alias("block_tokens"))
-    turns = blocks.join(near, "source_key").withColumn("__epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("epochs").cast("long"))))
-    order = Window.partitionBy("source_key", "__epoch").orderBy(F.xxhash64("__block", "__epoch", F.lit(seed)), "__block")
-    turns = turns.withColumn("before", F.sum("block_tokens").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("block_tokens"))
+    placed = rows.join(near.select("__key", "__n_blocks"), "__key").withColumn("__block", F.pmod(spread, F.col("__n_blocks"))).drop("__n_blocks")
+    blocks = placed.groupBy("__key", "__block").agg(F.sum("__n_tokens").alias("__block_tokens"))
+    turns = blocks.join(near, "__key").withColumn("__epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__epochs").cast("long"))))
+    order = Window.partitionBy("__key", "__epoch").orderBy(F.xxhash64("__block", "__epoch", F.lit(seed)), "__block")
+    turns = turns.withColumn("__before", F.sum("__block_tokens").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("__block_tokens"))
     # a block that begins beyond the rest of the last epoch gives no row there
-    turns = turns.where((F.col("__epoch") < F.col("epochs")) | ((F.col("source_tokens") > 0) & (F.col("rest") >= 1) & (F.col("before") < F.col("rest"))))
-    turns = turns.groupBy("source_key", "__block").agg(
-        F.collect_list(F.struct("__epoch", "before")).alias("turns"), F.first("epochs").alias("epochs"), F.first("rest").alias("rest"),
-        F.first("source_tokens").alias("source_tokens"), F.first("asked").alias("asked"), F.first("weight").alias("__weight"),
+    turns = turns.where((F.col("__epoch") < F.col("__epochs")) | ((F.col("__source_tokens") > 0) & (F.col("__rest") >= 1) & (F.col("__before") < F.col("__rest"))))
+    turns = turns.groupBy("__key", "__block").agg(
+        F.collect_list(F.struct("__epoch", "__before")).alias("__turns"), F.first("__epochs").alias("__epochs"), F.first("__rest").alias("__rest"),
+        F.first("__source_tokens").alias("__source_tokens"), F.first("__asked").alias("__asked"), F.first("weight").alias("__weight"),
     )
-    own = Window.partitionBy("source_key", "__block").orderBy(F.xxhash64(F.col(doc_id), F.lit(seed + 1)), doc_id, F.xxhash64(text))
+    own = Window.partitionBy("__key", "__block").orderBy(F.xxhash64(F.col(doc_id), F.lit(seed + 1)), doc_id, F.xxhash64(text))
     inner = placed.withColumn("__upto", F.sum("__n_tokens").over(own.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    drawn = inner.join(turns, ["source_key", "__block"])
-    kept = F.filter("turns", lambda t: (t["__epoch"] < F.col("epochs")) | (t["before"] + F.col("__upto") <= F.col("rest")))
+    drawn = inner.join(turns, ["__key", "__block"])
+    kept = F.filter("__turns", lambda t: (t["__epoch"] < F.col("__epochs")) | (t["__before"] + F.col("__upto") <= F.col("__rest")))
     out = drawn.withColumn("__turn", F.explode(kept))
-    place = (F.col("__turn.__epoch") * F.col("source_tokens") + F.col("__turn.before") + F.col("__upto") - F.col("__n_tokens")) / F.greatest(F.col("asked"), F.lit(1.0))
+    place = (F.col("__turn.__epoch") * F.col("__source_tokens") + F.col("__turn.__before") + F.col("__upto") - F.col("__n_tokens")) / F.greatest(F.col("__asked"), F.lit(1.0))
     return out.select(*docs.columns, "__n_tokens", "__weight", F.col("__turn.__epoch").alias("__epoch"), "__block", place.alias("__place"))
