@@ -84,6 +84,7 @@ def op9_personal_data(spark, sf_dir):
     return rows.select(
         "doc_id", n(0).alias("n_email"), n(1).alias("n_ip"), n(2).alias("n_card"), n(3).alias("n_phone"),
         F.sha2(joined("base").cast("binary"), 256).alias("base_sha256"), joined("spans").alias("spans"),
+        F.size("spans").cast("long").alias("n_spans"),
     )
 
 
