@@ -5,11 +5,12 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeworks.functions.state import checkpoint
-from tapeworks.llm.hashing import chunks, mix, shingle_sets
+from tapeworks.llm.hashing import mix, ranges, shingle_sets
 from tapeworks.operators.components import connected_components
 
 ORDERS = 3
@@ -22,22 +23,24 @@ WORDS = 4  # 64-bit words of a parity bitmap
 FILTER_BITS = 1 << 24
 
 
-def _texts(column: pa.Array) -> list[bytes]:
-    return [t or b"" for t in column.cast(pa.large_binary()).to_pylist()]
+def _pieces(column: pa.Array):
+    """(first, last, texts) of about ``PIECE`` bytes each, so that never all texts of a batch are copied."""
+    size = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    for i, j in ranges(size, PIECE):
+        yield i, j, [t or b"" for t in column.slice(i, j - i).cast(pa.large_binary()).to_pylist()]
 
 
 def _frequent(batches):
     """Shingles that several different sets of this task share, counted."""
     for batch in batches:
-        found = []
-        texts = list(dict.fromkeys(_texts(batch.column("text"))))
-        for i, j in chunks(texts, PIECE):
-            found.append(shingle_sets(texts[i:j])[1])
+        found = [shingle_sets(texts)[1] for _, _, texts in _pieces(pc.unique(batch.column("text")))]
         if not found:
             continue
-        token, n = np.unique(np.concatenate(found), return_counts=True)
-        keep = n >= 2
-        yield pa.RecordBatch.from_arrays([pa.array(token[keep].view(np.int64)), pa.array(n[keep].astype(np.int64))], ["token", "n"])
+        token = np.concatenate(found)
+        del found
+        token.sort()
+        token, n = np.unique(token[1:][token[1:] == token[:-1]], return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(n.astype(np.int64) + 1)], ["token", "n"])
 
 
 def frequent_shingles(docs: DataFrame, most: int = 1_000_000) -> np.ndarray:
@@ -150,10 +153,10 @@ def _signatures(shared):
     def rows(batches):
         orders = _Orders(shared.value)
         for batch in batches:
-            texts, ids = _texts(batch.column("text")), batch.column("doc_id")
-            for i, j in chunks(texts, PIECE):
+            ids = batch.column("doc_id")
+            for i, j, texts in _pieces(batch.column("text")):
                 m = j - i
-                own, h = shingle_sets(texts[i:j])
+                own, h = shingle_sets(texts)
                 n = np.bincount(own, minlength=m)
                 first = np.concatenate([[0], np.cumsum(n)[:-1]])
                 has = n > 0
@@ -176,9 +179,9 @@ def _members(batches, words: np.ndarray):
     for batch in batches:
         bit = batch.column("bit").to_numpy()
         batch = batch.filter(pa.array((words[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1) == 1))
-        texts, ids = _texts(batch.column("text")), batch.column("doc_id")
-        for i, j in chunks(texts, PIECE):
-            yield ids.slice(i, j - i), j - i, *shingle_sets(texts[i:j])
+        ids = batch.column("doc_id")
+        for i, j, texts in _pieces(batch.column("text")):
+            yield ids.slice(i, j - i), j - i, *shingle_sets(texts)
 
 
 def _sides(shared, heavy):
