@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import islice
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -17,7 +19,8 @@ ORDERS = 3
 DRAWS = (1, 16, 32)  # in each leader round, the groups of tokens that draw their leaders apart
 TILE = 1024  # classes of a component that meet as many others in one task
 HEAD = 16  # tokens at the start of a prefix that tell whether a pair has already met
-PIECE = 1 << 19  # bytes of text that are shingled at once
+PIECE = 1 << 18  # bytes of text that are shingled at once
+GROUP = 32  # pieces in which shingles are counted together
 FEW = 200_000  # classes whose numbers may be broadcast
 WORDS = 4  # 64-bit words of a parity bitmap
 FILTER_BITS = 1 << 24
@@ -31,22 +34,21 @@ def _pieces(column: pa.Array):
 
 
 def _frequent(batches):
-    """Shingles that several different sets of this task share, counted."""
+    """Shingles that several different texts of a group of pieces share, counted."""
     for batch in batches:
-        found = [shingle_sets(texts)[1] for _, _, texts in _pieces(pc.unique(batch.column("text")))]
-        if not found:
-            continue
-        token = np.concatenate(found)
-        del found
-        token.sort()
-        token, n = np.unique(token[1:][token[1:] == token[:-1]], return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(n.astype(np.int64) + 1)], ["token", "n"])
+        pieces = (shingle_sets(texts)[1] for _, _, texts in _pieces(pc.unique(batch.column("text"))))
+        while found := list(islice(pieces, GROUP)):
+            token = np.concatenate(found)
+            del found
+            token.sort()
+            token, n = np.unique(token[1:][token[1:] == token[:-1]], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(n.astype(np.int64) + 1)], ["token", "n"])
 
 
 def frequent_shingles(docs: DataFrame, most: int = 1_000_000) -> np.ndarray:
     """At most ``most`` shingles that many documents share, the most frequent last.
 
-    Counted are shingles that come twice in one task. They only shape the token orders (frequent
+    Counted are shingles that come twice in a group of pieces (8 MB of text). They only shape the token orders (frequent
     shingles last), never what is found; the bound keeps what is broadcast small at any size: of
     the counts from 2 up, the least is taken from which on no more than ``most`` are there.
     """
