@@ -40,7 +40,10 @@ def paths(entries: DataFrame, signals: DataFrame, rule: ExitRule) -> DataFrame:
 
 
 def outcomes(path: DataFrame, rule: ExitRule) -> DataFrame:
-    """The first exit of each entry: (symbol, tf, rn, exit_rn, reason, exit, gross, net, r)."""
+    """The first exit of each entry: (symbol, tf, rn, exit_rn, reason, exit, gross, net, r).
+
+    At one open the time limit is the reason before an exit signal, and both come before stop and target.
+    """
     w = Window.partitionBy("symbol", "tf", "rn").orderBy("j")
     later = F.col("j") > F.col("rn") + 1
     asked = F.lag(F.when(F.col("side") > 0, F.col("long_exit")).otherwise(F.col("short_exit"))).over(w)
@@ -50,8 +53,8 @@ def outcomes(path: DataFrame, rule: ExitRule) -> DataFrame:
     favour = F.when(s > 0, F.col("high")).otherwise(F.col("low"))
     o = F.col("open")
     hit = (
-        F.when(later & F.coalesce(asked, F.lit(False)), F.struct(F.lit("signal").alias("reason"), o.alias("exit")))
-        .when(F.col("j") == F.col("rn") + 1 + rule.max_bars, F.struct(F.lit("time").alias("reason"), o.alias("exit")))
+        F.when(F.col("j") == F.col("rn") + 1 + rule.max_bars, F.struct(F.lit("time").alias("reason"), o.alias("exit")))
+        .when(later & F.coalesce(asked, F.lit(False)), F.struct(F.lit("signal").alias("reason"), o.alias("exit")))
         .when(later & worse(o, F.col("stop")), F.struct(F.lit("stop_gap").alias("reason"), o.alias("exit")))
         .when(later & worse(F.col("target"), o), F.struct(F.lit("target_gap").alias("reason"), o.alias("exit")))
         .when(worse(adverse, F.col("stop")), F.struct(F.lit("stop").alias("reason"), F.col("stop").alias("exit")))

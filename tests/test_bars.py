@@ -55,6 +55,8 @@ def test_stop_before_target_and_gap(spark):
     rule = trades.ExitRule(2.0, 2.0, 6, cost_bps=0.0)
     got = [trades.run(spark.createDataFrame(x, schema), rule).first() for x in (both, gap, flat)]
     assert [(r["reason"], r["exit"], r["exit_rn"]) for r in got] == [("stop", 96.0, 6), ("stop_gap", 80.0, 6), ("time", 100.0, 10)]
+    asked = [(*r[:10], i == 8, False) for i, r in enumerate(flat)]  # an exit signal for the open that also takes the time limit
+    assert trades.run(spark.createDataFrame(asked, schema), rule).first()["reason"] == "time"
 
 
 def test_components(spark):
