@@ -17,6 +17,11 @@ def lifted(x: np.ndarray, top: float | None = None) -> np.ndarray:
     return np.concatenate([x, np.sqrt(np.maximum(top - square, 0))[:, None]], 1).astype(np.float32)
 
 
+def scaled(x: np.ndarray, axis: int | None = None) -> np.ndarray:
+    """Components divided by one power of two (one for each row with ``axis=1``), so that none exceeds 1: fit for single precision."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis, keepdims=True))[1])
+
+
 class Graph:
     """Directed graph over points; greedy beam search walks it, robust pruning keeps its edges diverse."""
 
@@ -148,8 +153,8 @@ class Graph:
 def _build(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
     dim, shard = int(key[0]), int(key[1])
     group = group.sort_values("first_id")
-    x = np.stack(group["embedding"].to_numpy()).astype(np.float32)
-    g = Graph(lifted(x))
+    x = np.stack(group["embedding"].to_numpy()).astype(np.float64)
+    g = Graph(lifted(scaled(x)))
     ids = np.concatenate([np.asarray(i, np.int64) for i in group["ids"]])
     counts = np.array([len(i) for i in group["ids"]], np.int64)
     return pd.DataFrame([{"dim": dim, "shard": shard, "points": x.tobytes(), "edges": g.edges.tobytes(), "start": g.start, "ids": ids.tobytes(), "counts": counts.tobytes()}])
@@ -159,21 +164,21 @@ def _search(k: int, beam: int):
     def rows(batches):
         for pdf in batches:
             for r in pdf.itertuples():
-                x = np.frombuffer(r.points, np.float32).reshape(-1, r.dim)
+                x = np.frombuffer(r.points, np.float64).reshape(-1, r.dim)
                 g = Graph.__new__(Graph)
-                g.x = lifted(x)
+                g.x = lifted(scaled(x))
                 g.norm, g.start = (g.x**2).sum(1), int(r.start)
                 g.edges = np.frombuffer(r.edges, np.int32).reshape(len(x), -1)
                 counts = np.frombuffer(r.counts, np.int64)
                 ids, first = np.frombuffer(r.ids, np.int64), np.concatenate([[0], np.cumsum(counts)])
                 q_ids = np.asarray(r.query_ids, np.int64)
-                q = np.frombuffer(b"".join(r.queries), np.float32).reshape(-1, r.dim)
+                q = np.frombuffer(b"".join(r.queries), np.float64).reshape(-1, r.dim)
                 for i in range(0, len(q), 256):
                     part = q[i : i + 256]
-                    met, _ = g.search(np.concatenate([part, np.zeros((len(part), 1), np.float32)], 1), beam)
+                    met, _ = g.search(np.concatenate([scaled(part, 1), np.zeros((len(part), 1))], 1).astype(np.float32), beam)
                     at, col = np.nonzero(met >= 0)
                     node = met[at, col]
-                    score = np.einsum("ij,ij->i", x[node].astype(np.float64), part[at].astype(np.float64))
+                    score = np.einsum("ij,ij->i", x[node], part[at])
                     n = counts[node]
                     pos = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[node], n)
                     out = pd.DataFrame({"query_id": np.repeat(q_ids[i : i + 256][at], n), "vec_id": ids[pos], "score": np.repeat(score, n)})
@@ -196,9 +201,10 @@ def nearest(
     repeated number and vector count once. With fewer candidates than k all found are returned;
     ties go to the smaller number. Points are dealt by hash to shards of about ``shard_points``;
     one task builds a shard's graph and writes it. Queries travel in blocks of ``query_block``
-    and search every shard; the beam's points are scored again in double precision.
+    and search every shard. Graphs are walked in single precision, on components divided by a power
+    of two; the beam's points are scored again on the original vectors in double precision.
     """
-    v = F.transform(F.col(embedding), lambda e: e.cast("float") + F.lit(0.0).cast("float"))
+    v = F.transform(F.col(embedding), lambda e: e.cast("double") + F.lit(0.0))
     rows = vectors.select(F.col(vec_id).cast("long").alias("id"), v.alias("embedding"), is_query.alias("is_query")).where("id is not null and embedding is not null")
     ok = F.forall("embedding", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < F.lit(float("inf")))) & F.exists("embedding", lambda e: e != 0)
     rows = rows.where(ok).withColumn("key", F.xxhash64("embedding")).withColumn("dim", F.size("embedding"))
@@ -217,7 +223,7 @@ def nearest(
 
     @F.pandas_udf("binary")
     def packed(x: pd.Series) -> pd.Series:
-        return x.map(lambda e: np.asarray(e, np.float32).tobytes())
+        return x.map(lambda e: np.asarray(e, np.float64).tobytes())
 
     asked = rows.where("is_query").dropDuplicates(["id", "key"])
     n_blocks = max(1, -(-asked.count() // query_block))

@@ -199,5 +199,21 @@ def test_nearest(spark):
     assert len(got) == 30 and hit / total >= 0.95
 
 
+def test_nearest_in_double_precision(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(120, 6)) * np.where(np.arange(120) % 3 == 0, 1e60, 1.0)[:, None]
+    x[5] = x[4] * (1 + 1e-12)  # equal in single precision
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in graph_search.nearest(df, F.col("vec_id") % 20 == 0, k=200).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    for q in range(0, 120, 20):
+        s = [(i, sum(a * b for a, b in zip(x[i].tolist(), x[q].tolist()))) for i in range(120)]
+        found = sorted(got[q])
+        assert all(abs(score - s[i][1]) <= 1e-12 * np.abs(x[i] * x[q]).sum() for _, i, score in found)
+        best = [i for i, _ in sorted((c for c in s if c[0] != q), key=lambda c: (-c[1], c[0]))][:20]
+        assert len(set(best) & {i for _, i, _ in found[:20]}) >= 19
+
+
 def test_hash_of_lines():
     assert line_dedup.line_key(" \tAbÉ ") == "abÉ" and hashlib.sha256(b"").hexdigest()
