@@ -355,7 +355,7 @@ def count_links(docs: DataFrame, linked: DataFrame, heavy, repeated: bool = True
         of.join(near, "doc_id").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("component", "doc_id", "tokens", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     )
-    counted = tiles.groupBy("component", "i", "j").applyInPandas(_tile_links(heavy), "doc_id long, n long")
+    counted = checkpoint(tiles.groupBy("component", "i", "j").applyInPandas(_tile_links(heavy), "doc_id long, n long"))
     return placed.where("k = 2").select("node", F.lit(1).cast("long").alias("n_links")).unionByName(
         counted.groupBy(F.col("doc_id").alias("node")).agg(F.sum("n").alias("n_links"))
     )
