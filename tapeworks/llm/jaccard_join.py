@@ -421,18 +421,21 @@ def keep_one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     """The documents without those that are not the smallest number of their component.
 
     All columns stay. Rows that repeat both number and text of a kept document become one row (the
-    one of smallest content). A number that bears different texts has no one set to compare: its
-    rows stay whole, as do rows with a null number.
+    one of smallest content). Of a number that bears different texts the greatest set is compared,
+    so its copies under other numbers go, while its own rows all stay; so do rows with a null number.
     """
     key = F.col(doc_id).cast("long")
-    per = docs.where(key.isNotNull()).select(key.alias("__id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("__h"))
-    often = checkpoint(per.groupBy("__id").agg(F.count("*").alias("n"), F.min("__h").alias("lo"), F.max("__h").alias("hi")).where("n > 1"))
-    unclear = often.where("lo <> hi").select("__id")
-    gone = near_duplicates(docs, doc_id, text, counts=False).where("doc_id <> component_id").select(F.col("doc_id").alias("__id"))
-    rows = docs.join(gone.join(unclear, "__id", "left_anti"), key == F.col("__id"), "left_anti")
+    own = "__id"
+    while own in {c.lower() for c in docs.columns}:  # a name that no column of the table bears
+        own += "_"
+    per = docs.where(key.isNotNull()).select(key.alias(own), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("__h"))
+    often = checkpoint(per.groupBy(own).agg(F.count("*").alias("n"), F.min("__h").alias("lo"), F.max("__h").alias("hi")).where("n > 1"))
+    unclear = often.where("lo <> hi").select(own)
+    gone = near_duplicates(docs, doc_id, text, counts=False).where("doc_id <> component_id").select(F.col("doc_id").alias(own))
+    rows = docs.join(gone.join(unclear, own, "left_anti"), key == F.col(own), "left_anti")
     if often.isEmpty():
         return rows
-    again = often.where("lo = hi").select("__id")
-    once = rows.join(again, key == F.col("__id"), "left_anti")
-    first = rows.join(again, key == F.col("__id"), "left_semi").select(F.struct(*docs.columns).alias("__row"))
+    again = often.where("lo = hi").select(own)
+    once = rows.join(again, key == F.col(own), "left_anti")
+    first = rows.join(again, key == F.col(own), "left_semi").select(F.struct(*docs.columns).alias("__row"))
     return once.unionByName(first.groupBy(F.col(f"__row.{doc_id}")).agg(F.min("__row").alias("__row")).select("__row.*"))
