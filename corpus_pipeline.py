@@ -47,7 +47,7 @@ STAGES = [
     ("mix", _mix),
     ("shard", _shard),
 ]
-#: No SQL: the classifier is trained. No test runs the stages; tests/llm tests their operators on a few rows.
+#: No SQL: the classifier is trained. tests/llm compares each stage on a small table with plain Python.
 ORACLE_SQL = None
 
 

@@ -181,7 +181,7 @@ def trading_costs(spark, sf):
     s = F.when(F.hour("ts") % 2 == 0, 1).otherwise(-1)
     fee = k.stock_fees(F.col("close") * 100, F.lit(5000), s)
     d = h.select("symbol", "ts", k.rollover_days(F.col("ts"), F.col("t1")).alias("rollover"), k.overnight_days(F.col("ts"), F.col("t1")).alias("nights"), nx["at"].alias("next_at"), nx["days"].alias("next_days"), k.fx_fill(F.col("close"), s, F.col("symbol")).alias("fx_fill"), k.stock_fill(F.col("close"), s).alias("stock_fill"), (fee["platform"] + fee["settlement"] + fee["sec"] + fee["taf"]).alias("fees"))
-    return _r(d, "fx_fill", "stock_fill", "fees")
+    return _r(_r(d, "fx_fill", "fees"), "stock_fill", n=9)  # a price has five decimals at most, its fill nine
 
 
 def strategy_stats(spark, sf):
@@ -243,6 +243,40 @@ def _phi(x: str) -> str:
     return f"(case when {x} > 0 then 1 - {PHI.format(x=x)} else {PHI.format(x=x)} end)"
 
 
+#: Bodies and ranges against the means of the ten bars before; x1 and x2 are one and two bars ago.
+CANDLES = f"""with {D1}, b as (select *, abs(close - open) body, high - low rg from bars),
+m as (select *, {_full('avg', 10, 1, 'body')} ab, {_full('avg', 10, 1, 'rg')} ar, greatest(open, close) top, least(open, close) bot from b),
+s as (select *, lag(open) over ({W}) o1, lag(close) over ({W}) c1, lag(high) over ({W}) h1, lag(low) over ({W}) l1, lag(body) over ({W}) b1, lag(ab) over ({W}) ab1, lag(ar) over ({W}) ar1,
+lag(open, 2) over ({W}) o2, lag(close, 2) over ({W}) c2, lag(body, 2) over ({W}) b2, lag(ab, 2) over ({W}) ab2 from m),
+levels as (select *, greatest(o1, c1) top1, least(o1, c1) bot1 from s where o1 is not null union all select *, null, null from s where o1 is null),
+u as (select symbol, ts,
+case when top >= top1 and bot <= bot1 and (top > top1 or bot < bot1) then case when close >= open and c1 < o1 then 100 when close < open and c1 >= o1 then -100 else 0 end else 0 end engulfing,
+case when body <= 0.1e0*ar then 100 else 0 end doji,
+case when body < ab and bot - low > body and high - top < 0.1e0*ar and bot <= l1 + 0.2e0*ar1 then 100 else 0 end hammer,
+case when body < ab and high - top > body and bot - low < 0.1e0*ar and bot > top1 then -100 else 0 end shootingstar,
+case when c1 < o1 and b1 > ab1 and close >= open and body > ab and open < l1 and close < o1 and close > c1 + 0.5e0*(o1 - c1) then 100 else 0 end piercing,
+case when c1 >= o1 and b1 > ab1 and close < open and open > h1 and close > o1 and close < c1 - 0.5e0*(c1 - o1) then -100 else 0 end darkcloudcover,
+case when c2 < o2 and b2 > ab2 and b1 <= ab1 and top1 < least(o2, c2) and close >= open and body > ab and close > c2 + 0.3e0*(o2 - c2) then 100 else 0 end morningstar,
+case when c2 >= o2 and b2 > ab2 and b1 <= ab1 and bot1 > greatest(o2, c2) and close < open and body > ab and close < c2 - 0.3e0*(c2 - o2) then -100 else 0 end eveningstar from levels)
+select *, round((engulfing + doji + hammer + shootingstar + piercing + darkcloudcover + morningstar + eveningstar)/100e0, 6) score from u"""
+#: The 17:00 New York cuts of the days from a bar's own on; 53 hours touch four dates at most.
+COSTS = f"""with {H1}, x as (select symbol, ts, close, ts + interval 53 hours t1, case when hour(ts) % 2 = 0 then 1 else -1 end s from hours),
+n as (select *, cast(timezone('America/New_York', timezone('UTC', ts)) as date) d0, cast(timezone('America/New_York', timezone('UTC', t1)) as date) d1 from x),
+d as (select symbol, ts, t1, unnest(generate_series(d0::timestamp, d0::timestamp + interval 4 days, interval 1 day)) d from n),
+c as (select *, timezone('UTC', timezone('America/New_York', d + interval 17 hours)) cut, case dayofweek(d) when 5 then 3 when 6 then 0 when 0 then 0 else 1 end w from d),
+r as (select symbol, ts, cast(coalesce(sum(w) filter (where cut > ts and cut <= t1), 0) as int) rollover, min(cut) filter (where cut > ts and w > 0) next_at, min_by(w, cut) filter (where cut > ts and w > 0) next_days from c group by 1, 2)
+select symbol, ts, rollover, cast(date_diff('day', d0, d1) as int) nights, next_at, next_days, round(close + s*0.8e0*case when symbol like '%_JPY' then 0.01e0 else 0.0001e0 end, 6) fx_fill, round(close + s*3e0/1e4*close, 9) stock_fill,
+round(0.99e0 + 15e0 + case when s < 0 then 27.80e-6*close*100*5000 + least(0.000166e0*5000, 8.30e0) else 0 end, 6) fees from n join r using (symbol, ts)"""
+WATCHLIST = f"""with {D1}, steps as (select *, lag(close) over ({W}) pc from bars),
+q as (select *, close*volume dv, case when pc is not null then greatest(high - low, abs(high - pc), abs(low - pc)) end tr from steps),
+z as (select symbol, ts, close, volume/nullif({_full('avg', 20, 1, 'volume')}, 0) rv, open/pc - 1 gap, close/lag(close, 20) over ({W}) - 1 mom, {_full('avg', 20, 0, 'dv')} dollar, {_full('avg', 14, 0, 'tr')} atr,
+max(close) over ({W} rows between 251 preceding and current row) top, row_number() over ({W}) n from q),
+g as (select symbol, ts, case when rv > 1.5 then least(2e0, log2(rv)) else 0 end + case when abs(gap) > 0.02 then least(1.5e0, 25*abs(gap)) else 0 end + case when abs(mom) > 0.1 then least(1.5e0, 5*abs(mom)) else 0 end
++ case when close >= 0.97e0*top then 0.5e0 else 0 end + coalesce(least(1e0, 25*atr/close), 0) score, case when abs(mom) > 0.05 or abs(gap) > 0.02 then cast(sign(mom + gap) as int) else 0 end direction from z where n >= 60 and close >= 5 and dollar >= 1000),
+k as (select *, row_number() over (partition by ts order by score desc, symbol) rank from g)
+select symbol, ts, round(score, 6) score, direction, rank from k where rank <= 2 or (rank <= 4 and score >= 1)"""
+
+
 ORACLES = {
     "bars_d1": f"with {D1} select * from bars",
     "bars_h1": f"with {H1} select * from hours",
@@ -268,7 +302,9 @@ round(-100*({_full('max', 14, 0, 'high')} - close)/nullif({_full('max', 14, 0, '
 round((high + low + close)/3, 6) typprice, round((high + low + 2*close)/4, 6) wclprice, round({_full('stddev_pop', 5, 0, 'close')}, 6) stddev,
 round((close*5 + lag(close, 1) over ({W})*4 + lag(close, 2) over ({W})*3 + lag(close, 3) over ({W})*2 + lag(close, 4) over ({W}))/15, 6) wma from bars""",
     "scan_indicators": f"with recursive {D1}, {SCAN} select x.symbol, x.ts, round(ema, 6) ema, round(atr, 6) atr, round(case when u is not null then coalesce(100*u/nullif(u + v, 0), 0) end, 6) rsi, round(atr/close, 6) atr_pct from rec join r0 x using (symbol, rn)",
-    "trading_costs": None,
+    "candle_patterns": CANDLES,
+    "trading_costs": COSTS,
+    "technical_watchlist": WATCHLIST,
     "strategy_stats": f"""with {RET}, c as (select *, exp(sum(ln(1 + ret)) over (partition by strategy order by d)) e from ret), c2 as (select *, e / greatest(max(e) over (partition by strategy order by d), 0) - 1 dd from c),
 g as (select strategy, count(*) n, avg(ret) m, stddev_samp(ret) sd, stddev_samp(ret) filter (where ret < 0) sl, min(dd) md, exp(sum(ln(1 + ret))) - 1 tr, skewness(ret) sk, kurtosis(ret) ku from c2 group by strategy),
 q as (select *, m/sd sr, sqrt(1 - sk*m/sd + (ku + 2)/4*(m/sd)*(m/sd)) den from g),
@@ -284,4 +320,3 @@ l as (select a, b from c where n >= 60 and corr > 0.02), ee as (select a, b from
 r as (select strategy as node, strategy as root from s union select ee.b, r.root from r join ee on r.node = ee.a) select node as strategy, min(root) as cluster from r group by node""",
     "normal_functions": f"with {D1}, x as (select distinct (close - 100)/3 x from bars) select round(x, 6) x, round({_phi('x')}, 6) cdf, round(x, 6) back from x",
 }
-ORACLES = {name: sql for name, sql in ORACLES.items() if sql}
