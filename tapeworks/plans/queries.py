@@ -276,6 +276,36 @@ g as (select symbol, ts, case when rv > 1.5 then least(2e0, log2(rv)) else 0 end
 k as (select *, row_number() over (partition by ts order by score desc, symbol) rank from g)
 select symbol, ts, round(score, 6) score, direction, rank from k where rank <= 2 or (rank <= 4 and score >= 1)"""
 
+#: One recursion for what follows from the bars, a second one for what follows from its results.
+MACD_ADX = f"""with recursive {D1}, a as (select *, row_number() over ({W}) rn, high - lag(high) over ({W}) hu, lag(low) over ({W}) - low ld, lag(close) over ({W}) pc from bars),
+x as (select *, case when hu > ld and hu > 0 then hu else 0 end pdm, case when ld > hu and ld > 0 then ld else 0 end mdm, case when pc is null then 0 else greatest(high - low, abs(high - pc), abs(low - pc)) end tr from a),
+r1 as (
+  select symbol, rn, null::double slow, null::double fast, close sc, 0e0 sf, 0e0 p, 0e0 m, 0e0 t from x where rn = 1
+  union all
+  select x.symbol, x.rn, case when x.rn = 26 then (r.sc + x.close)/26 when x.rn > 26 then r.slow*25e0/27 + x.close*2e0/27 end,
+    case when x.rn = 26 then (r.sf + x.close)/12 when x.rn > 26 then r.fast*11e0/13 + x.close*2e0/13 end,
+    r.sc + x.close, r.sf + case when x.rn >= 15 then x.close else 0 end,
+    case when x.rn <= 14 then r.p else r.p*13e0/14 end + x.pdm, case when x.rn <= 14 then r.m else r.m*13e0/14 end + x.mdm, case when x.rn <= 14 then r.t else r.t*13e0/14 end + x.tr
+  from r1 r join x on x.symbol = r.symbol and x.rn = r.rn + 1),
+k as (select symbol, rn, fast - slow macd, case when rn >= 15 then coalesce(100*abs(p/nullif(t, 0) - m/nullif(t, 0))/nullif(p/nullif(t, 0) + m/nullif(t, 0), 0), 0) end dx from r1),
+r2 as (
+  select symbol, rn, null::double sig, null::double adx, 0e0 sm, 0e0 sd from k where rn = 1
+  union all
+  select k.symbol, k.rn, case when k.rn = 34 then (r.sm + k.macd)/9 when k.rn > 34 then r.sig*0.8e0 + k.macd*0.2e0 end,
+    case when k.rn = 28 then (r.sd + k.dx)/14 when k.rn > 28 then (r.adx*13 + k.dx)/14 end, r.sm + coalesce(k.macd, 0), r.sd + coalesce(k.dx, 0)
+  from r2 r join k on k.symbol = r.symbol and k.rn = r.rn + 1)
+select x.symbol, x.ts, round(case when sig is not null then macd end, 6) macd, round(sig, 6) macdsignal, round(macd - sig, 6) macdhist, round(adx, 6) adx
+from x join k using (symbol, rn) join r2 using (symbol, rn)"""
+#: The level at which the shares sum to the budget, by bisection.
+SPLIT = f"""with recursive {RET}, g as (select strategy id, abs(avg(ret)/stddev_samp(ret)*sqrt(252)) + 0.1e0 score, 0.05e0 + 0.02e0*cast(strategy[2:2] as int) cap from ret group by 1),
+l as (select list({{'s': score, 'c': cap}}) rows from g),
+b as (
+  select 0 i, 0e0 lo, 1000e0 hi from l
+  union all
+  select i + 1, case when part < 0.8e0 then (lo + hi)/2 else lo end, case when part < 0.8e0 then hi else (lo + hi)/2 end
+  from (select b.*, list_sum(list_transform(rows, lambda x: least(x.c, x.s*(lo + hi)/2))) part from b, l) where i < 70)
+select id, round(least(cap, score*lo), 6) as share from g, b where i = 70"""
+
 
 ORACLES = {
     "bars_d1": f"with {D1} select * from bars",
@@ -302,6 +332,8 @@ round(-100*({_full('max', 14, 0, 'high')} - close)/nullif({_full('max', 14, 0, '
 round((high + low + close)/3, 6) typprice, round((high + low + 2*close)/4, 6) wclprice, round({_full('stddev_pop', 5, 0, 'close')}, 6) stddev,
 round((close*5 + lag(close, 1) over ({W})*4 + lag(close, 2) over ({W})*3 + lag(close, 3) over ({W})*2 + lag(close, 4) over ({W}))/15, 6) wma from bars""",
     "scan_indicators": f"with recursive {D1}, {SCAN} select x.symbol, x.ts, round(ema, 6) ema, round(atr, 6) atr, round(case when u is not null then coalesce(100*u/nullif(u + v, 0), 0) end, 6) rsi, round(atr/close, 6) atr_pct from rec join r0 x using (symbol, rn)",
+    "macd_adx": MACD_ADX,
+    "risk_split": SPLIT,
     "candle_patterns": CANDLES,
     "trading_costs": COSTS,
     "technical_watchlist": WATCHLIST,
