@@ -1 +1 @@
-
+"""Structured Streaming counterparts of the bar sources."""
