@@ -12,14 +12,17 @@ import base64
 import json
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Most characters of a piece that is remembered, and of all remembered pieces together.
-REMEMBERED, MEMORY = 48, 24_000_000
+#: Most characters of a piece that is remembered, and most pieces remembered.
+REMEMBERED, MEMORY = 40, 200_000
+#: Characters of texts that are looked up together.
+TOGETHER = 2_000_000
 #: Bytes of results that travel together from a task.
 SENT = 8_000_000
 
@@ -58,7 +61,9 @@ def model_json(ranks: dict[bytes, int], pattern: str) -> str:
         for i in range(1, len(token))
         if token[:i] in ranks and token[i:] in ranks
     ]
-    tokenizer = Tokenizer(models.BPE(vocab={text[t]: r for t, r in ranks.items()}, merges=merges, ignore_merges=True))
+    make = lambda whole: models.BPE(vocab={text[t]: r for t, r in ranks.items()}, merges=merges, ignore_merges=whole)
+    merging = make(False)  # quicker than looking for the whole piece first, and the same if each token merges to itself
+    tokenizer = Tokenizer(merging if all(len(merging.tokenize(t)) == 1 for t in text.values()) else make(True))
     tokenizer.pre_tokenizer = pre_tokenizers.Sequence([
         pre_tokenizers.Split(Regex(pattern), "isolated"),
         pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False),
@@ -66,6 +71,7 @@ def model_json(ranks: dict[bytes, int], pattern: str) -> str:
     return tokenizer.to_str()
 
 
+@lru_cache(1)
 def token_bytes(model: str) -> dict[int, bytes]:
     """Id to bytes: the vocabulary's characters read back through the byte table."""
     back = {c: b for b, c in enumerate(byte_characters())}
@@ -84,34 +90,41 @@ def pieces(text: str) -> list[str]:
 
 
 class _Encoder:
-    def __init__(self, model: str):
+    def __init__(self, model: str, lengths: np.ndarray):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.size = Tokenizer.from_str(model), {}, 0
-
-    def ids(self, text: str) -> bytes:
-        """The ids of a text, four bytes each, little-endian."""
-        parts = pieces(text)
-        known = self.known
-        out = [known.get(p) for p in parts]
-        new = [i for i, x in enumerate(out) if x is None]
-        if new:
-            fresh = list(dict.fromkeys(parts[i] for i in new))
-            found: dict[str, bytes] = {}
-            for at in range(0, len(fresh), 4096):
-                some = fresh[at : at + 4096]
-                for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                    found[p] = np.asarray(e.ids, dtype="<u4").tobytes()
-            for i in new:
-                out[i] = found[parts[i]]
-            for p in fresh:
-                if len(p) <= REMEMBERED:
-                    known[p] = found[p]
-                    self.size += len(p) + 16
-            if self.size > MEMORY:
-                known.clear()
-                self.size = 0
-        return b"".join(out)
+        self.tokenizer, self.lengths, self.known = Tokenizer.from_str(model), lengths, {}
+
+    def _learn(self, new: list[str]) -> None:
+        """Ask the library for new pieces. Those that start but do not end with white space go
+        in strings of 500: between two of them no match crosses, and byte lengths tell them apart."""
+        apart = [p for p in new if p[0] not in " \n\t\r" or p[-1].isspace()]
+        strings = [p for p in new if p[0] in " \n\t\r" and not p[-1].isspace()]
+        groups = [[p] for p in apart] + [strings[i : i + 500] for i in range(0, len(strings), 500)]
+        for at in range(0, len(groups), 4096):
+            some = groups[at : at + 4096]
+            for group, found in zip(some, self.tokenizer.encode_batch_fast(["".join(g) for g in some], add_special_tokens=False)):
+                ids = np.array(found.ids, dtype="<u4")
+                ends = np.cumsum(self.lengths[ids])
+                wanted = np.cumsum([len(p.encode()) for p in group])
+                cuts = np.searchsorted(ends, wanted)
+                if not np.array_equal(ends[cuts], wanted):
+                    raise ValueError("a token crosses two pieces")
+                packed, start = ids.tobytes(), 0
+                for p, end in zip(group, (4 * cuts + 4).tolist()):
+                    self.known[p], start = packed[start:end], end
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, four bytes each, little-endian; the library sees each new piece of them all once."""
+        parts = [pieces(t) for t in texts]
+        seen = set().union(*parts)
+        self._learn([p for p in seen if p not in self.known])
+        out = [b"".join(map(self.known.__getitem__, p)) for p in parts]
+        if len(self.known) > MEMORY:
+            self.known = {p: self.known[p] for p in seen}
+        for p in [p for p in seen if len(p) > REMEMBERED]:
+            del self.known[p]
+        return out
 
 
 def character_places(text: bytes, ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -122,19 +135,14 @@ def character_places(text: bytes, ids: np.ndarray, lengths: np.ndarray) -> tuple
     return character[starts].astype("<u4"), (character[ends - 1] + 1).astype("<u4")
 
 
-_READY: dict[str, tuple[_Encoder, np.ndarray]] = {}  # one per worker process, of the model last used
-
-
+@lru_cache(1)  # kept between the tasks of a worker
 def _ready(model: str) -> tuple[_Encoder, np.ndarray]:
-    """The encoder of a model and the byte length of each id, kept between the tasks of a worker."""
-    if model not in _READY:
-        table = token_bytes(model)
-        lengths = np.zeros(max(table, default=0) + 1, dtype=np.int64)
-        for i, b in table.items():
-            lengths[i] = len(b)
-        _READY.clear()
-        _READY[model] = (_Encoder(model), lengths)
-    return _READY[model]
+    """The encoder of a model and the byte length of each id."""
+    table = token_bytes(model)
+    lengths = np.zeros(max(table, default=0) + 1, dtype=np.int64)
+    for i, b in table.items():
+        lengths[i] = len(b)
+    return _Encoder(model, lengths), lengths
 
 
 def encode(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -147,26 +155,26 @@ def encode(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text")
     """
     shipped = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema[key].dataType
+    names = [key, "n_tokens", "n_split", "ids", "first_char", "end_char"]
+
+    def row(value: str, packed: bytes, lengths: np.ndarray) -> tuple:
+        ids = np.frombuffer(packed, dtype="<u4")
+        starts, ends = character_places(value.encode(), ids, lengths) if len(ids) else (ids, ids)
+        return len(ids), int((starts[1:] < ends[:-1]).sum()), packed, starts.tobytes(), ends.tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, lengths = _ready(shipped.value)
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1)
-            rows: list[tuple] = []
-            first = size = 0
+            first, waiting, size = 0, [], 0
             for at in range(batch.num_rows):
-                value = texts[at].as_py() or ""
-                packed = encoder.ids(value)
-                ids = np.frombuffer(packed, dtype="<u4")
-                data = value.encode()
-                starts, ends = character_places(data, ids, lengths) if len(ids) else (ids, ids)
-                inside = int((starts[1:] < ends[:-1]).sum())
-                rows.append((len(ids), inside, packed, starts.tobytes(), ends.tobytes()))
-                size += 3 * len(packed)
-                if size > SENT or at == batch.num_rows - 1:
+                waiting.append(texts[at].as_py() or "")
+                size += len(waiting[-1])
+                if size > TOGETHER or at == batch.num_rows - 1:
+                    rows = [row(value, packed, lengths) for value, packed in zip(waiting, encoder.ids(waiting))]
                     columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), *[pa.binary()] * 3))]
-                    yield pa.RecordBatch.from_arrays([keys.slice(first, len(rows)), *columns], names=[key, "n_tokens", "n_split", "ids", "first_char", "end_char"])
-                    rows, first, size = [], at + 1, 0
+                    yield pa.RecordBatch.from_arrays([keys.slice(first, len(rows)), *columns], names=names)
+                    first, waiting, size = at + 1, [], 0
 
     schema = f"`{key}` {kind.simpleString()}, n_tokens bigint, n_split bigint, ids binary, first_char binary, end_char binary"
     return docs.select(F.col(key), F.col(text)).mapInArrow(run, schema)
