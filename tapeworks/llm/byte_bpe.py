@@ -20,11 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Most characters of a piece that is remembered, and most pieces remembered.
-REMEMBERED, MEMORY = 40, 200_000
+REMEMBERED, MEMORY = 40, 100_000
 #: Characters of texts that are looked up together.
-TOGETHER = 2_000_000
+TOGETHER = 500_000
 #: Bytes of results that travel together from a task.
-SENT = 8_000_000
+SENT = 4_000_000
 
 _PIECES = re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
 _ODD_SPACE = re.compile(r"[^\S \n\t\r]")
@@ -71,7 +71,6 @@ def model_json(ranks: dict[bytes, int], pattern: str) -> str:
     return tokenizer.to_str()
 
 
-@lru_cache(1)
 def token_bytes(model: str) -> dict[int, bytes]:
     """Id to bytes: the vocabulary's characters read back through the byte table."""
     back = {c: b for b, c in enumerate(byte_characters())}
@@ -136,17 +135,12 @@ def character_places(text: bytes, ids: np.ndarray, lengths: np.ndarray) -> tuple
 
 
 @lru_cache(1)  # kept between the tasks of a worker
-def _ready(model: str) -> tuple[_Encoder, np.ndarray]:
-    """The encoder of a model and the byte length of each id."""
-    table = token_bytes(model)
-    lengths = np.zeros(max(table, default=0) + 1, dtype=np.int64)
-    for i, b in table.items():
-        lengths[i] = len(b)
-    return _Encoder(model, lengths), lengths
+def _ready(model: str, lengths: bytes) -> _Encoder:
+    return _Encoder(model, np.frombuffer(lengths, dtype=np.int64))
 
 
-def encode(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_tokens, n_split, ids, first_char, end_char) of each row's whole text.
+def encode(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text", places: bool = True) -> DataFrame:
+    """(key, n_tokens, n_split, ids, and with ``places`` first_char, end_char) of each row's whole text.
 
     ``model``: see model_json. ``ids`` and the places are packed, four little-endian bytes a
     token (``numbers`` unpacks them); places count characters, the end exclusive. ``n_split``: tokens
@@ -155,15 +149,19 @@ def encode(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text")
     """
     shipped = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema[key].dataType
-    names = [key, "n_tokens", "n_split", "ids", "first_char", "end_char"]
+    lengths = np.zeros(max(token_bytes(model), default=0) + 1, dtype=np.int64)
+    for i, b in token_bytes(model).items():
+        lengths[i] = len(b)
+    names = [key, "n_tokens", "n_split", "ids", *(["first_char", "end_char"] if places else [])]
 
     def row(value: str, packed: bytes, lengths: np.ndarray) -> tuple:
         ids = np.frombuffer(packed, dtype="<u4")
         starts, ends = character_places(value.encode(), ids, lengths) if len(ids) else (ids, ids)
-        return len(ids), int((starts[1:] < ends[:-1]).sum()), packed, starts.tobytes(), ends.tobytes()
+        found = len(ids), int((starts[1:] < ends[:-1]).sum()), packed
+        return (*found, starts.tobytes(), ends.tobytes()) if places else found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, lengths = _ready(shipped.value)
+        encoder = _ready(shipped.value, lengths.tobytes())
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1)
             first, waiting, size = 0, [], 0
@@ -172,11 +170,11 @@ def encode(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text")
                 size += len(waiting[-1])
                 if size > TOGETHER or at == batch.num_rows - 1:
                     rows = [row(value, packed, lengths) for value, packed in zip(waiting, encoder.ids(waiting))]
-                    columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), *[pa.binary()] * 3))]
+                    columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), *[pa.binary()] * (len(names) - 3)))]
                     yield pa.RecordBatch.from_arrays([keys.slice(first, len(rows)), *columns], names=names)
                     first, waiting, size = at + 1, [], 0
 
-    schema = f"`{key}` {kind.simpleString()}, n_tokens bigint, n_split bigint, ids binary, first_char binary, end_char binary"
+    schema = f"`{key}` {kind.simpleString()}, n_tokens bigint, n_split bigint, " + ", ".join(f"{c} binary" for c in names[3:])
     return docs.select(F.col(key), F.col(text)).mapInArrow(run, schema)
 
 
@@ -185,12 +183,12 @@ def decode(tokens: DataFrame, model: str, ids: str = "ids", keep: tuple[str, ...
 
     Null ids give no bytes; an id outside the vocabulary raises an error. ``keep``: columns to carry along.
     """
-    shipped = tokens.sparkSession.sparkContext.broadcast(model)
+    shipped = tokens.sparkSession.sparkContext.broadcast(token_bytes(model))
     carried = tokens.select(key, *keep)
     names = [*carried.columns, "decoded"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = token_bytes(shipped.value)
+        table = shipped.value
         for batch in batches:
             *rest, packed = batch.columns
             first = 0

@@ -120,7 +120,7 @@ def op13_byte_bpe(spark, sf_dir, vocabulary: str | None = None):
 
     ranks = read_ranks(vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken"))
     model = model_json(ranks, public_tokenizers.PATTERN)
-    tokens = encode(table(spark, sf_dir, "documents"), model).withColumn("ids_sha256", F.sha2("ids", 256))
+    tokens = encode(table(spark, sf_dir, "documents"), model, places=False).withColumn("ids_sha256", F.sha2("ids", 256))
     return decode(tokens, model, keep=["n_tokens", "ids_sha256", "n_split"]).select(
         "doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"), "n_split"
     )
