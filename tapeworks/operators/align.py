@@ -47,7 +47,7 @@ def _struct(df: DataFrame, take: list[str]) -> str:
 
 def align_higher(base: DataFrame, base_seconds: int, higher: DataFrame, higher_seconds: int, take: list[str], out: str = "higher") -> DataFrame:
     """For each base bar the last higher bar that has closed when the base bar closes."""
-    end = lambda s: F.timestamp_seconds(F.unix_micros("ts") / 1e6 + s)
+    end = lambda s: F.col("ts") + F.expr(f"interval {s} seconds")
     b = base.withColumn("__end", end(base_seconds))
     return asof(b, higher.withColumn("__known", end(higher_seconds)), ["symbol"], "__end", "__known", take, out).drop("__end")
 

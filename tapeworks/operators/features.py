@@ -66,10 +66,6 @@ def le(a, b) -> Column:
     return F.coalesce(_c(a) <= _c(b), F.lit(False))
 
 
-def ne(a, b) -> Column:
-    return F.coalesce(_c(a) != _c(b), F.lit(True))
-
-
 def truthy(x) -> Column:
     return F.coalesce(_c(x).cast("double"), F.lit(0.0)) != 0
 
@@ -191,12 +187,14 @@ def recurrence(df: DataFrame, x: Column, decay: float, gain: float, seed: int, n
     w = Window.partitionBy(*keys).orderBy(order)
     run = w.rowsBetween(Window.unboundedPreceding, 0)
     past = w.rowsBetween(Window.unboundedPreceding, -1)
-    size = max(1, math.ceil(6 * math.log(10) / -math.log(decay)))
+    size = max(1, math.ceil(6 * math.log(10) / -math.log(decay))) if decay > 0 else 1
     p = lambda s: f"__{name}_{s}"
     first = F.sum if seed_sum else F.avg
     df = df.withColumn(p("x"), x).withColumn(p("at"), F.when(F.col(p("x")).isNotNull(), F.count(p("x")).over(run) - seed))
     head = first(F.when(F.col(p("at")) <= 0, F.col(p("x")))).over(run)
     u = F.when(F.col(p("at")) == 0, head).when(F.col(p("at")) > 0, gain * F.col(p("x")))
+    if decay == 0:  # nothing is carried on
+        return df.withColumn(name, u).drop(p("x"), p("at"))
     df = df.withColumn(p("u"), u).withColumn(p("b"), F.floor(F.col(p("at")) / size)).withColumn(p("k"), F.pmod(p("at"), F.lit(size)))
     inner = Window.partitionBy(*keys, p("b")).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     df = df.withColumn(p("l"), F.pow(F.lit(decay), F.col(p("k"))) * F.sum(F.col(p("u")) * F.pow(F.lit(decay), -F.col(p("k")))).over(inner))

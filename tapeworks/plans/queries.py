@@ -165,7 +165,7 @@ def rsi2_trades(spark, sf):
 
 def rsi2_trade_stats(spark, sf):
     t = trades.run(_rsi2(spark, sf), trades.ExitRule(2.5, 1.5, 7))
-    return m.trade_stats(t, "symbol")
+    return _r(m.trade_stats(t, "symbol"), "win_rate", "win_rate_lower", "profit_factor", "avg_win", "avg_loss", "expectancy_r", "payoff", "kelly")
 
 
 def breakout_trades(spark, sf):
