@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tapeworks.operators import features as f
-from tapeworks.operators import trades
+from tapeworks.operators import indicators, trades
 from tapeworks.operators.align import align_higher, clear_of_earnings, outside_events
 from tapeworks.sources.bars import SECONDS, resample
 
@@ -21,6 +21,7 @@ FRAMES: dict[str, Callable[..., DataFrame]] = {
     "atr_pct": lambda d, name, n=14: f.atr(d, n, "__atr_pct").withColumn(name, F.try_divide("__atr_pct", "close")).drop("__atr_pct"),
     "rsi": lambda d, name, n=14, x="close": f.rsi(d, n, name, x),
     "adx": lambda d, name, n=14: f.adx(d, n, name),
+    **indicators.FRAMES,
 }
 # Other names of parameters.
 ALIASES = {"period": "n", "timeperiod": "n", "input": "x", "ref": "x"}
@@ -75,6 +76,8 @@ def compute_features(bars: DataFrame, base: str, features: dict[str, dict]) -> D
             flush(tf)
         if fn in FRAMES:
             frames[tf] = FRAMES[fn](frames[tf], name, **given)
+            if "output" in spec:
+                frames[tf] = frames[tf].withColumn(name, F.col(name)[spec["output"]])
         else:
             found = f.REGISTRY[fn](**given)
             pending.setdefault(tf, {})[name] = found[spec["output"]] if "output" in spec else found
