@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from tapeworks.functions.state import checkpoint
 
+#: Share of the true neighbours that a shard's walk must find on so many of its own points.
+GOAL, SAMPLE = 0.97, 128
+
 
 def lifted(x: np.ndarray, top: float | None = None) -> np.ndarray:
     """Vectors with one more component, so that the nearest by distance has the largest inner product."""
@@ -22,6 +25,11 @@ def scaled(x: np.ndarray, axis: int | None = None) -> np.ndarray:
     return np.ldexp(x, -np.frexp(np.abs(x).max(axis, keepdims=True))[1])
 
 
+def as_queries(x: np.ndarray) -> np.ndarray:
+    """Queries as the graph's points: scaled each by itself, with nothing in the lifted component."""
+    return np.concatenate([scaled(x, 1), np.zeros((len(x), 1))], 1).astype(np.float32)
+
+
 class Graph:
     """Directed graph over points; greedy beam search walks it, robust pruning keeps its edges diverse."""
 
@@ -49,8 +57,12 @@ class Graph:
         self.edges[p, : len(to)] = to
         self.filled[p] = len(to)
 
-    def search(self, queries: np.ndarray, beam: int, expand: int = 4) -> tuple[np.ndarray, np.ndarray]:
-        """For each query the ``beam`` nearest points met (-1: none) and their distances, nearest first."""
+    def search(self, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each query the ``beam`` nearest points met (-1: none) and their distances, nearest first.
+
+        Of a beam a 24th is walked from at once, four points at least.
+        """
+        expand = max(4, beam // 24)
         n, m = len(self.x), len(queries)
         ids = np.full((m, beam), -1, np.int64)
         far = np.full((m, beam), np.inf, np.float32)
@@ -150,17 +162,43 @@ class Graph:
                 self.filled[t] = count
 
 
-def _build(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-    dim, shard = int(key[0]), int(key[1])
-    group = group.sort_values("first_id")
-    x = np.stack(group["embedding"].to_numpy()).astype(np.float64)
-    g = Graph(lifted(scaled(x)))
-    ids = np.concatenate([np.asarray(i, np.int64) for i in group["ids"]])
-    counts = np.array([len(i) for i in group["ids"]], np.int64)
-    return pd.DataFrame([{"dim": dim, "shard": shard, "points": x.tobytes(), "edges": g.edges.tobytes(), "start": g.start, "ids": ids.tobytes(), "counts": counts.tobytes()}])
+def fitted_beam(g: Graph, x: np.ndarray, k: int, beam: int, goal: float = GOAL, sample: int = SAMPLE) -> int:
+    """The beam at which a walk finds a share of at least ``goal`` of the ``k`` largest inner products.
+
+    Measured on ``sample`` points of the graph, evenly spaced, as queries against an exact comparison with all
+    points of the shard; the beam doubles until it does, at most up to the number of points.
+    """
+    at = np.unique(np.linspace(0, len(x) - 1, min(sample, len(x))).astype(np.int64))
+    k = min(k, len(x) - 1)
+    if k < 1:
+        return beam
+    score = x[at] @ x.T
+    score[np.arange(len(at)), at] = -np.inf
+    least = np.partition(score, -k, axis=1)[:, -k]
+    asked = as_queries(x[at])
+    while beam < len(x):
+        met, _ = g.search(asked, beam)
+        hit = (np.take_along_axis(score, np.maximum(met, 0), 1) >= least[:, None]) & (met >= 0)
+        if np.minimum(hit.sum(1), k).mean() >= goal * k:
+            break
+        beam *= 2
+    return min(beam, len(x))
+
+
+def _build(k: int, beam: int):
+    def shard(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("first_id")
+        x = np.stack(group["embedding"].to_numpy()).astype(np.float64)
+        g = Graph(lifted(scaled(x)))
+        ids = np.concatenate([np.asarray(i, np.int64) for i in group["ids"]])
+        counts = np.array([len(i) for i in group["ids"]], np.int64)
+        made = {"dim": int(key[0]), "shard": int(key[1]), "points": x.tobytes(), "edges": g.edges.tobytes(), "start": g.start, "beam": fitted_beam(g, scaled(x), k, beam)}
+        return pd.DataFrame([made | {"ids": ids.tobytes(), "counts": counts.tobytes()}])
+
+    return shard
 
 
-def _search(k: int, beam: int):
+def _search(k: int):
     def rows(batches):
         for pdf in batches:
             for r in pdf.itertuples():
@@ -175,7 +213,7 @@ def _search(k: int, beam: int):
                 q = np.frombuffer(b"".join(r.queries), np.float64).reshape(-1, r.dim)
                 for i in range(0, len(q), 256):
                     part = q[i : i + 256]
-                    met, _ = g.search(np.concatenate([scaled(part, 1), np.zeros((len(part), 1))], 1).astype(np.float32), beam)
+                    met, _ = g.search(as_queries(part), int(r.beam))
                     at, col = np.nonzero(met >= 0)
                     node = met[at, col]
                     score = np.einsum("ij,ij->i", x[node], part[at])
@@ -200,7 +238,7 @@ def nearest(
     crowd the graph nor get lost; their numbers are ranked in salted groups first. Rows of a
     repeated number and vector count once. With fewer candidates than k all found are returned;
     ties go to the smaller number. Points are dealt by hash to shards of about ``shard_points``;
-    one task builds a shard's graph and writes it. Queries travel in blocks of ``query_block``
+    one task builds a shard's graph, widens the beam from ``beam`` on until walks find enough (fitted_beam), and writes both. Queries travel in blocks of ``query_block``
     and search every shard. Graphs are walked in single precision, on components divided by a power
     of two; the beam's points are scored again on the original vectors in double precision.
     """
@@ -218,7 +256,7 @@ def nearest(
     shards = max(1, -(-total // shard_points))
     dealt = points.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
     graphs = checkpoint(
-        dealt.groupBy("dim", "shard").applyInPandas(_build, "dim int, shard long, points binary, edges binary, start int, ids binary, counts binary")
+        dealt.groupBy("dim", "shard").applyInPandas(_build(k, beam), "dim int, shard long, points binary, edges binary, start int, beam int, ids binary, counts binary")
     )
 
     @F.pandas_udf("binary")
@@ -233,6 +271,6 @@ def nearest(
         .select("dim", F.col("b.id").alias("query_ids"), F.col("b.q").alias("queries"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"))
     )
     tasks = blocks.join(graphs, ["dim", "shard"]).repartition(max(1, min(n_blocks * shards, 100_000)))
-    found = tasks.mapInPandas(_search(k, beam), "query_id long, vec_id long, score double")
+    found = tasks.mapInPandas(_search(k), "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
