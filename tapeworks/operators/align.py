@@ -28,6 +28,21 @@ def asof_next(left: DataFrame, right: DataFrame, by: list[str], at: str, known:
     return both.withColumn(out, F.first(F.when(F.col("__side") == 1, F.col(out)), ignorenulls=True).over(w)).where("__side = 0").drop("__t", "__side")
 
 
+def next_event(left: DataFrame, events: DataFrame, at: str, event: str, out: str) -> DataFrame:
+    """``left`` with ``out``: the first market-wide event (``event`` of ``events``) not before ``at``; null without one.
+
+    Rows meet the events of their own day; where none is left on it, the first event of the next day that has any comes from
+    a list with one row for each day. So no task sorts more than a day.
+    """
+    e = events.select(F.col(event).alias("__event"), F.to_date(event).alias("__day")).where("__event is not null").distinct()
+    l = left.withColumn("__day", F.to_date(at))
+    firsts = e.groupBy("__day").agg(F.min("__event").alias("__first"))
+    days = l.select("__day").distinct().join(firsts, "__day", "full")
+    later = days.select("__day", F.first("__first", ignorenulls=True).over(Window.orderBy("__day").rowsBetween(1, Window.unboundedFollowing)).alias("__later"))
+    same = asof_next(l, e, ["__day"], at, "__event", ["__event"], "__same")
+    return same.join(later, "__day", "left").withColumn(out, F.coalesce("__same.__event", "__later")).drop("__day", "__same", "__later")
+
+
 def asof_filled(left: DataFrame, right: DataFrame, by: list[str], at: str, known: str, value: str, fill) -> DataFrame:
     """``left`` with ``value`` of the last ``right`` row not after ``at``, ``fill`` where there is none or it is null (masks, labels)."""
     got = asof(left, right, by, at, known, [value], "__asof")

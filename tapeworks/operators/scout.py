@@ -64,5 +64,5 @@ def scout_mask(picks: DataFrame, days: DataFrame, symbols: DataFrame, hold: int
     """(symbol, ts, tradable) for each scan day and symbol: picked on that day or one of the ``hold`` - 1 scan days before."""
     numbered = days.select("ts").distinct().withColumn("__i", F.row_number().over(Window.orderBy("ts")))
     on = picks.select("symbol", "ts").distinct().join(numbered, "ts").select("symbol", F.explode(F.sequence("__i", F.col("__i") + hold - 1)).alias("__i")).distinct().withColumn("__on", F.lit(True))
-    grid = numbered.withColumn("symbol", F.explode(F.array(*[F.lit(r["symbol"]) for r in symbols.select("symbol").distinct().collect()])))  # one row for each symbol of the universe
+    grid = numbered.crossJoin(symbols.select("symbol").distinct())  # the result itself: a row for each scan day and symbol
     return grid.join(on, ["symbol", "__i"], "left").select("symbol", "ts", F.coalesce("__on", F.lit(False)).alias("tradable"))

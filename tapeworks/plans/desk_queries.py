@@ -9,7 +9,7 @@ from tapeworks.operators import costs as k
 from tapeworks.operators import features as f
 from tapeworks.operators import feeds, review
 from tapeworks.operators import metrics as m
-from tapeworks.operators.align import asof_filled, asof_next, clear_of_earnings
+from tapeworks.operators.align import asof_filled, clear_of_earnings, next_event
 from tapeworks.plans.queries import D1, H1, RET, TRD, W, _phi, _r, _returns, _trades
 from tapeworks.sources import bars as b
 
@@ -106,9 +106,9 @@ def touch_chances(spark, sf):
 
 
 def next_errors(spark, sf):
-    e = spark.read.parquet(f"{sf}/events.parquet").where("event_type = 'error' and value > 250").select(F.lit("all").alias("g"), F.col("ts").alias("event_ts"))
-    h = b.hourly_bars(spark, sf).select("symbol", "ts", F.lit("all").alias("g"), (F.col("ts") + F.expr("interval 1 hour")).alias("end"))
-    return asof_next(h, e.distinct(), ["g"], "end", "event_ts", ["event_ts"], "x").select("symbol", "ts", F.col("x.event_ts").alias("next_event"))
+    e = spark.read.parquet(f"{sf}/events.parquet").where("event_type = 'error' and value > 250").select(F.col("ts").alias("event_ts"))
+    h = b.hourly_bars(spark, sf).select("symbol", "ts", (F.col("ts") + F.expr("interval 1 hour")).alias("end"))
+    return next_event(h, e, "end", "event_ts", "next_event").select("symbol", "ts", "next_event")
 
 
 def earnings_clear(spark, sf):
