@@ -124,15 +124,31 @@ def bootstrap_ruin(
     starts = n.where(F.col("n") >= block).select(key, "n", F.explode(F.sequence(F.lit(0), F.lit(paths - 1))).alias("path")).select(
         key, "n", "path", F.explode(F.sequence(F.lit(0), F.lit(-(-horizon // block) - 1))).alias("b")
     )
-    drawn = lambda name, at: F.conv(F.substring(F.md5(F.concat_ws(":", key, "path", name)), at, 8), 16, 10).cast("long")
-    steps = starts.select(key, "path", "b", F.pmod(drawn("b", 1), F.col("n") - block + 1).alias("at")).select(
-        key, "path", "b", "at", F.explode(F.sequence(F.lit(0), F.lit(block - 1))).alias("j")
-    ).select(key, "path", (F.col("b") * block + F.col("j")).alias("step"), (F.col("at") + F.col("j")).alias("i")).where(F.col("step") < horizon)
-    joined = steps.join(t, [key, "i"]).withColumn("r", F.col("r") - F.when(drawn("step", 25) < int(worse_share * 2**32), worse_r).otherwise(0.0))
-    run = Window.partitionBy(key, "path").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
-    level = joined.withColumn("e", F.sum(F.log(F.greatest(1 + risk * F.col("r"), F.lit(1e-9)))).over(run))
-    level = level.withColumn("low", F.col("e") - F.greatest(F.max("e").over(run), F.lit(0.0)))
-    ruined = level.groupBy(key, "path").agg((F.min("low") <= F.log(F.lit(1 - limit))).cast("int").alias("x")).groupBy(key).agg(F.avg("x").alias("ruin"))
+    drawn = lambda name, at: F.conv(F.substring(F.md5(F.concat_ws(":", key, "path", name.cast("string"))), at, 8), 16, 10).cast("long")
+    starts = starts.select(key, "path", "b", F.pmod(drawn(F.col("b"), 1), F.col("n") - block + 1).alias("i"))
+    ahead = Window.partitionBy(key).orderBy("i")
+    blocks = t.select(key, "i", F.array("r", *[F.lead("r", j).over(ahead) for j in range(1, block)]).alias("rs"))
+    # each drawn block is a row: its log growth, and how high, how low and how far under its own peak it goes
+    joined = starts.join(blocks, [key, "i"])
+    at, ends = F.lit(0.0), []
+    for j in range(block):
+        step = F.col("b") * block + j
+        r = F.col("rs")[j] - F.when(drawn(step, 25) < int(worse_share * 2**32), worse_r).otherwise(0.0)
+        joined = joined.withColumn(f"e{j}", F.when(step < horizon, at + F.log(F.greatest(1 + risk * r, F.lit(1e-9)))))
+        at = F.col(f"e{j}")
+        ends.append(at)
+    most = lambda xs, f: f(*xs) if len(xs) > 1 else xs[0]
+    dips = [most([ends[i] - ends[j] for j in range(i + 1)], F.least) for i in range(block)]
+    walked = joined.select(key, "path", F.struct("b", F.coalesce(*ends[::-1]).alias("sum"), most(ends, F.greatest).alias("top"), most(ends, F.least).alias("bottom"), most(dips, F.least).alias("dip")).alias("x"))
+    seen = walked.groupBy(key, "path").agg(F.array_sort(F.collect_list("x")).alias("xs"))  # horizon / block rows
+    zero = F.struct(F.lit(0.0).alias("e"), F.lit(0.0).alias("peak"), F.lit(0.0).alias("low"))
+
+    def on(state, x):
+        low = F.least(state["low"], state["e"] + x["bottom"] - state["peak"], x["dip"])
+        return F.struct((state["e"] + x["sum"]).alias("e"), F.greatest(state["peak"], state["e"] + x["top"]).alias("peak"), low.alias("low"))
+
+    low = F.aggregate("xs", zero, on, lambda state: state["low"])
+    ruined = seen.groupBy(key).agg(F.avg((low <= F.log(F.lit(1 - limit))).cast("int")).alias("ruin"))
     return trades.select(key).distinct().join(ruined, key, "left").select(key, F.coalesce("ruin", F.lit(1.0)).alias("ruin"))
 
 
