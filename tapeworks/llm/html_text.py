@@ -224,11 +224,12 @@ def extract_main_text(pages: DataFrame, url: str = "url", source: str = "html",
     are joined by one space. A null or empty source gives an empty text; a page without a host
     votes with the other such pages; repeated rows are pages like any other. The winners are
     broadcast only if they are counted to be ``broadcast_rows`` at most. New columns replace old
-    ones of their names.
+    ones of their names, in whatever case.
     """
-    kept = [c for c in pages.columns if c not in (source, "text", "n_chars")]
+    kept = [F.col(f"`{c}`") for c in pages.columns if c.lower() not in (source.lower(), "text", "n_chars")]
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1))
-    rows = pages.select(*kept, F.col(source).alias("__html"), host.alias("__host"))
+    # the page's own columns travel as one, so that no name of theirs meets a helper's
+    rows = pages.select(F.struct(F.lit(0).alias("__none") if not kept else kept[0], *kept[1:]).alias("__page"), F.col(source).alias("__html"), host.alias("__host"))
 
     def vote(batches):
         for pdf in batches:
@@ -259,4 +260,5 @@ def extract_main_text(pages: DataFrame, url: str = "url", source: str = "html",
     def take(sources: pd.Series, paths: pd.Series) -> pd.Series:
         return pd.Series([main_text(s, list(p) if p is not None else None) if isinstance(s, str) else "" for s, p in zip(sources, paths)], dtype=object)
 
-    return rows.join(near, "__host", "left").select(*kept, take("__html", "__path").alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    found = rows.join(near, "__host", "left").select("__page", take("__html", "__path").alias("__text"))
+    return found.select(*(["__page.*"] if kept else []), F.col("__text").alias("text"), F.length("__text").cast("long").alias("n_chars"))
