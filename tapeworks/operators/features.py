@@ -66,6 +66,25 @@ def le(a, b) -> Column:
     return F.coalesce(_c(a) <= _c(b), F.lit(False))
 
 
+def divided(a, b) -> Column:
+    """a / b, null where b is 0."""
+    return F.try_divide(_c(a).cast("double"), _c(b).cast("double"))
+
+
+def both(*rules) -> Column:
+    """All rules; a number counts as true if it is there and not 0."""
+    return F.array_min(F.array(*[truthy(r) for r in rules]))
+
+
+def either(*rules) -> Column:
+    return F.array_max(F.array(*[truthy(r) for r in rules]))
+
+
+def negated(rule) -> Column:
+    """True where the rule is not, also where it has no value."""
+    return ~truthy(rule)
+
+
 def truthy(x) -> Column:
     return F.coalesce(_c(x).cast("double"), F.lit(0.0)) != 0
 

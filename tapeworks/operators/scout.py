@@ -47,17 +47,24 @@ WEIGHTS = {"technical": 1.0, "news": 1.0, "chatter": 0.5}
 
 
 def merged_scores(sources: dict[str, DataFrame], always_on: tuple[str, ...] = ("SPY", "QQQ")) -> DataFrame:
-    """(symbol, ts, score, direction, sources): weighted sums over the sources, symbols that are always on left out."""
+    """(symbol, ts, score, direction, sources): weighted sums over the sources, symbols that are always on left out.
+
+    Where a source has a ``reason``, ``reasons`` holds those that are not empty as "source: reason", in the order of the sources.
+    """
+    explained = any("reason" in d.columns for d in sources.values())
+    of = lambda d, c, default: F.col(c) if c in d.columns else default
     parts = [
-        d.select("symbol", "ts", (F.lit(WEIGHTS.get(name, 1.0)) * F.col("score")).alias("score"), F.col("direction") if "direction" in d.columns else F.lit(0).alias("direction"), F.struct(F.lit(i).alias("i"), F.lit(name).alias("name")).alias("s"))
+        d.select("symbol", "ts", (F.lit(WEIGHTS.get(name, 1.0)) * F.col("score")).alias("score"), of(d, "direction", F.lit(0)).alias("direction"), F.struct(F.lit(i).alias("i"), F.lit(name).alias("name"), of(d, "reason", F.lit(None)).cast("string").alias("reason")).alias("s"))
         for i, (name, d) in enumerate(sources.items())
     ]
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p)
-    names = F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["name"]), ",")
+    said = F.array_sort(F.collect_list("s"))  # a row for each source
+    names = F.array_join(F.transform(said, lambda s: s["name"]), ",")
+    reasons = F.transform(F.filter(said, lambda s: F.coalesce(s["reason"], F.lit("")) != ""), lambda s: F.concat(s["name"], F.lit(": "), s["reason"]))
     rows = rows.where(~F.col("symbol").isin(*always_on)) if always_on else rows
-    return rows.groupBy("symbol", "ts").agg(F.sum("score").alias("score"), F.signum(F.sum("direction")).cast("int").alias("direction"), names.alias("sources"))
+    return rows.groupBy("symbol", "ts").agg(F.sum("score").alias("score"), F.signum(F.sum("direction")).cast("int").alias("direction"), names.alias("sources"), *([reasons.alias("reasons")] if explained else []))
 
 
 def scout_mask(picks: DataFrame, days: DataFrame, symbols: DataFrame, hold: int = 1) -> DataFrame:

@@ -112,6 +112,14 @@ def scout_ranking(spark, sf):
     return _r(scout.watchlist(scout.merged_scores({"news": news, "chatter": chatter}, ("U00", "U01"))), "score")
 
 
+def reasoned_ranking(spark, sf):
+    """The merged ranking with what each source has to say."""
+    news = scout.news_scores(_scan_days(spark, sf), _news(spark, sf)).withColumn("reason", F.format_string("%d items", "n"))
+    chatter = news.where("n % 2 = 0").select("symbol", "ts", "score", F.lit(-1).alias("direction"), F.when(F.col("n") > 2, "talked about").alias("reason"))
+    got = scout.watchlist(scout.merged_scores({"news": news, "chatter": chatter}, ("U00", "U01")))
+    return _r(got.withColumn("reasons", F.array_join("reasons", "; ")), "score")
+
+
 def scout_masks(spark, sf):
     days = _scan_days(spark, sf)
     picks = scout.watchlist(scout.news_scores(days, _news(spark, sf)))
@@ -124,7 +132,7 @@ def universe_watchlist(spark, sf):
 
 QUERIES = {q.__name__: q for q in (
     walk_forward_folds, walk_forward_scores, walk_forward_best, promotion_gates, recent_sharpes, regime_fits, risk_allocation, blend_report,
-    news_scan, scout_ranking, scout_masks, universe_watchlist,
+    news_scan, scout_ranking, reasoned_ranking, scout_masks, universe_watchlist,
 )}
 
 
@@ -186,6 +194,9 @@ select strategy, round(case when stddev_samp(ret) > 0 then avg(ret)/stddev_samp(
     "scout_ranking": f"""with {NEWS}, mg as (select symbol, ts, score, 0 dir, 'news' src from ns union all select symbol, ts, 0.5*score, -1, 'chatter' from ns where n % 2 = 0),
 tt as (select symbol, ts, sum(score) score, cast(sign(sum(dir)) as int) direction, string_agg(src, ',' order by src desc) sources from mg where symbol not in ('U00', 'U01') group by 1, 2),
 rk as (select *, {RANKED} from tt) select symbol, ts, round(score, 6) score, direction, sources, cast(rank as int) rank from rk where {KEPT}""",
+    "reasoned_ranking": f"""with {NEWS}, mg as (select symbol, ts, score, 0 dir, 1 o, 'news' src, n || ' items' why from ns union all select symbol, ts, 0.5*score, -1, 2, 'chatter', case when n > 2 then 'talked about' end from ns where n % 2 = 0),
+tt as (select symbol, ts, sum(score) score, cast(sign(sum(dir)) as int) direction, string_agg(src, ',' order by o) sources, string_agg(src || ': ' || why, '; ' order by o) reasons from mg where symbol not in ('U00', 'U01') group by 1, 2),
+rk as (select *, {RANKED} from tt) select symbol, ts, round(score, 6) score, direction, sources, reasons, cast(rank as int) rank from rk where {KEPT}""",
     "scout_masks": f"""with {NEWS}, rk as (select *, {RANKED} from ns), pk as (select * from rk where {KEPT}), dn as (select ts, row_number() over (order by ts) i from sd),
 sy as (select distinct symbol from nw), pi as (select pk.symbol, dn.i from pk join dn using (ts))
 select sy.symbol, dn.ts, exists (select 1 from pi where pi.symbol = sy.symbol and pi.i between dn.i - 2 and dn.i) tradable from dn cross join sy""",
