@@ -75,6 +75,24 @@ def trade_stats(trades: DataFrame, key: str = "strategy") -> DataFrame:
     return s.withColumn("kelly", F.coalesce(kelly, F.lit(0.0)))
 
 
+# The costs a trade may bear.
+COSTS = ("spread_slippage", "fees", "financing", "borrow", "margin_interest")
+
+
+def cost_stats(trades: DataFrame, key: str = "strategy") -> DataFrame:
+    """Per strategy: mean bars held, costs in dollars, each kind of them, their share of gross results, and day-trade violations.
+
+    ``trades``: bars_held, gross_pnl, pdt_violation and the columns of COSTS; one that is missing or null is nothing. Gross is the size of
+    results before any cost, so what spread and slippage took counts with it; a share of nothing is 0.
+    """
+    cost = {c: F.sum(F.coalesce(F.col(c).cast("double"), F.lit(0.0))) if c in trades.columns else F.lit(0.0) for c in COSTS}
+    violations = F.coalesce(F.sum(F.col("pdt_violation").cast("int")), F.lit(0)).cast("long") if "pdt_violation" in trades.columns else F.lit(0).cast("long")
+    g = trades.groupBy(key).agg(F.avg("bars_held").alias("avg_bars_held"), F.sum(F.abs("gross_pnl")).alias("__gross"), *[v.alias(c) for c, v in cost.items()], violations.alias("violations"))
+    total = sum((F.col(c) for c in COSTS), F.lit(0.0))
+    gross = F.coalesce("__gross", F.lit(0.0)) + F.col("spread_slippage")
+    return g.withColumn("costs_usd", total).withColumn("costs_share", F.when(gross != 0, total / F.when(gross != 0, gross)).otherwise(0.0)).drop("__gross")
+
+
 def exit_reasons(trades: DataFrame, key: str = "strategy") -> DataFrame:
     return trades.groupBy(key, F.split("exit_reason", ":")[0].alias("reason")).agg(F.count("*").alias("n"))
 

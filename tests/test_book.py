@@ -3,6 +3,7 @@ from datetime import datetime, timedelta
 import numpy as np
 from pyspark.sql import functions as F
 
+from tapeworks.operators import metrics
 from tapeworks.operators.exposure import business_seconds, exposure, round_trips
 from tapeworks.streaming.review import review_arrivals, review_on_arrival
 
@@ -41,6 +42,14 @@ def test_round_trips_over_a_weekend(spark):
     assert got == {(4, 15): (1, 1, False), (5, 16): (2, 3, False), (8, 16): (1, 4, False), (9, 4): (1, 5, True), (11, 15): (1, 5, True), (12, 16): (1, 4, False)}
 
 
+def test_cost_stats(spark):
+    rows = [("s", 2, 30.0, 5.0, 1.0, None, True), ("s", 4, -10.0, 5.0, 2.0, 2.0, None), ("t", None, 0.0, None, None, None, False)]
+    d = spark.createDataFrame(rows, "strategy string, bars_held int, gross_pnl double, spread_slippage double, fees double, financing double, pdt_violation boolean")
+    got = {r["strategy"]: r.asDict() for r in metrics.cost_stats(d).collect()}
+    assert got["s"] == {"strategy": "s", "avg_bars_held": 3.0, "spread_slippage": 10.0, "fees": 3.0, "financing": 2.0, "borrow": 0.0, "margin_interest": 0.0, "violations": 1, "costs_usd": 15.0, "costs_share": 0.3}
+    assert got["t"]["costs_share"] == 0.0 and got["t"]["avg_bars_held"] is None and got["t"]["violations"] == 0
+
+
 BOOK = "symbol string, asset_class string, direction int, qty double, usd double, entry_time timestamp, entry double, stop double, target double, risk double, max_bars int, best double, reduced boolean"
 BARS = "symbol string, time timestamp, price double, atr double, bar_hours double"
 
