@@ -86,8 +86,10 @@ def mix_sources(
 
     Blocks are summed before they are ordered, so no task sorts the rows of a whole source. Rows
     without words take no budget and come once in each epoch. A null source is a source of its
-    own. Repeated rows are rows like any other. An empty table gives an empty result.
+    own. Repeated rows are rows like any other. An empty table gives an empty result. The table's own
+    columns travel as one, so none clashes with a helper; those that bear a result's name give way to it.
     """
+    new = ["__n_tokens", "__weight", "__epoch", "__block", "__place"]
     shares = checkpoint(token_shares(docs, text, source))
     exponent = find_exponent(shares, entropy, max_repeats)
     sums = shares.where("n_tokens > 0").agg(
@@ -109,8 +111,12 @@ def mix_sources(
     few = plan.count() <= 10_000
     near = F.broadcast(plan) if few else plan
 
-    rows = docs.withColumn("__key", F.coalesce(F.col(source), F.lit(NO_SOURCE))).withColumn("__n_tokens", n_tokens(F.col(text)))
-    spread = F.xxhash64(F.col(doc_id), F.lit(seed))
+    kept = [c for c in docs.columns if c.lower() not in new]
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in kept]).alias("__row"), F.col(doc_id).alias("__id"), F.xxhash64(F.col(text)).alias("__text"),
+        F.coalesce(F.col(source), F.lit(NO_SOURCE)).alias("__key"), n_tokens(F.col(text)).alias("__n_tokens"),
+    )
+    spread = F.xxhash64("__id", F.lit(seed))
     placed = rows.join(near.select("__key", "__n_blocks"), "__key").withColumn("__block", F.pmod(spread, F.col("__n_blocks"))).drop("__n_blocks")
     blocks = placed.groupBy("__key", "__block").agg(F.sum("__n_tokens").alias("__block_tokens"))
     turns = blocks.join(near, "__key").withColumn("__epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__epochs").cast("long"))))
@@ -122,10 +128,10 @@ def mix_sources(
         F.collect_list(F.struct("__epoch", "__before")).alias("__turns"), F.first("__epochs").alias("__epochs"), F.first("__rest").alias("__rest"),
         F.first("__source_tokens").alias("__source_tokens"), F.first("__asked").alias("__asked"), F.first("weight").alias("__weight"),
     )
-    own = Window.partitionBy("__key", "__block").orderBy(F.xxhash64(F.col(doc_id), F.lit(seed + 1)), doc_id, F.xxhash64(text))
+    own = Window.partitionBy("__key", "__block").orderBy(F.xxhash64("__id", F.lit(seed + 1)), "__id", "__text")
     inner = placed.withColumn("__upto", F.sum("__n_tokens").over(own.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     drawn = inner.join(turns, ["__key", "__block"])
-    kept = F.filter("__turns", lambda t: (t["__epoch"] < F.col("__epochs")) | (t["__before"] + F.col("__upto") <= F.col("__rest")))
-    out = drawn.withColumn("__turn", F.explode(kept))
+    read = F.filter("__turns", lambda t: (t["__epoch"] < F.col("__epochs")) | (t["__before"] + F.col("__upto") <= F.col("__rest")))
+    out = drawn.withColumn("__turn", F.explode(read))
     place = (F.col("__turn.__epoch") * F.col("__source_tokens") + F.col("__turn.__before") + F.col("__upto") - F.col("__n_tokens")) / F.greatest(F.col("__asked"), F.lit(1.0))
-    return out.select(*docs.columns, "__n_tokens", "__weight", F.col("__turn.__epoch").alias("__epoch"), "__block", place.alias("__place"))
+    return out.select(*[F.col("__row")[c].alias(c) for c in kept], "__n_tokens", "__weight", F.col("__turn.__epoch").alias("__epoch"), "__block", place.alias("__place"))

@@ -45,23 +45,25 @@ def assign_shards(docs: DataFrame, shards: int, key: str = "doc_id", text: str =
     ``slot`` numbers a shard's rows from 0 without gaps: rows are dealt to ``buckets`` hash
     buckets, counted there, and numbered after the buckets before theirs, so no task has to
     sort a whole shard. Only ``buckets`` x ``shards`` counts are broadcast. An empty table gives
-    an empty result; other columns stay unless they bear one of the new names.
+    an empty result; other columns stay unless they bear one of the new names. They travel as
+    one column, so none clashes with a helper.
     """
     new = ["size", "text_crc32", "law", "shard", "slot", "grown_shard"]
     kept = [c for c in docs.columns if c.lower() not in new]
     rows = docs.select(
-        *kept,
+        F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"),
+        F.col(key).alias("key"),
         (F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 8).alias("size"),
         F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("text_crc32"),
         F.lit("key").alias("law"),
         shard_of(F.col(key).cast("long"), shards).alias("shard"),
         shard_of(F.col(key).cast("long"), shards + 1).alias("grown_shard"),
-    ).withColumn("__bucket", F.pmod(F.xxhash64(key), F.lit(buckets)))
-    counts = rows.groupBy("shard", "__bucket").count()
-    before = Window.partitionBy("shard").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("shard", "__bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__before"))
-    own = Window.partitionBy("shard", "__bucket").orderBy(key, "text_crc32", "size")
-    numbered = rows.withColumn("__n", F.row_number().over(own))
-    return numbered.join(F.broadcast(offsets), ["shard", "__bucket"]).select(
-        *kept, "size", "text_crc32", "law", "shard", (F.col("__before") + F.col("__n") - 1).alias("slot"), "grown_shard"
+    ).withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)))
+    counts = rows.groupBy("shard", "bucket").count()
+    before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("shard", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
+    own = Window.partitionBy("shard", "bucket").orderBy("key", "text_crc32", "size")
+    numbered = rows.withColumn("n", F.row_number().over(own))
+    return numbered.join(F.broadcast(offsets), ["shard", "bucket"]).select(
+        *[F.col("row")[c].alias(c) for c in kept], "size", "text_crc32", "law", "shard", (F.col("before") + F.col("n") - 1).alias("slot"), "grown_shard"
     )
