@@ -43,10 +43,17 @@ def round_trips(trades: DataFrame, days: int = 5, most: int = 3) -> DataFrame:
     """(account, exit_ts, n, n_recent, over): exits of trades begun on the same New York date, with those of the trailing business days.
 
     ``n_recent`` counts the account's same-day exits later than ``days`` business days before the exit, itself
-    included; ``over`` says that they are more than ``most``. Exits of one second are one row, of ``n`` trades; so what one
-    account brings to the running count is bounded by its seconds, not by its trades.
+    included; ``over`` says that they are more than ``most``. Exits of one second are one row, of ``n`` trades. Every
+    exit adds to the count at its time on the business clock and is taken away ``days`` business days later, so the count is a
+    running sum. Days before are carried over from one row a day: what is sorted together is one business day of one account.
     """
     same = trades.where(F.to_date(ny(F.col("entry_ts"))) == F.to_date(ny(F.col("exit_ts"))))
     at = same.groupBy("account", F.date_trunc("second", "exit_ts").alias("exit_ts")).agg(F.count("*").alias("n")).withColumn("k", business_seconds(F.col("exit_ts")))
-    recent = Window.partitionBy("account").orderBy("k").rangeBetween(-days * 86400 + 1, 0)
-    return at.withColumn("n_recent", F.sum("n").over(recent)).select("account", "exit_ts", "n", "n_recent", (F.col("n_recent") > most).alias("over"))
+    gone = at.groupBy("account", "k").agg(F.sum("n").alias("n")).select("account", F.lit(None).cast("timestamp").alias("exit_ts"), (-F.col("n")).alias("n"), (F.col("k") + days * 86400).alias("k"))
+    both = at.select("account", "exit_ts", "n", "k").unionByName(gone).withColumn("day", F.floor(F.col("k") / 86400))
+    past = Window.partitionBy("account").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    base = both.groupBy("account", "day").agg(F.sum("n").alias("n0")).select(F.col("account").alias("__account"), "day", F.coalesce(F.sum("n0").over(past), F.lit(0)).alias("n0"))
+    run = Window.partitionBy("account", "day").orderBy("k").rangeBetween(Window.unboundedPreceding, 0)
+    state = both.withColumn("n1", F.sum("n").over(run)).withColumnRenamed("day", "__day")
+    state = state.join(base, F.col("account").eqNullSafe(F.col("__account")) & (F.col("__day") == F.col("day"))).where("exit_ts is not null")
+    return state.withColumn("n_recent", F.col("n0") + F.col("n1")).select("account", "exit_ts", "n", "n_recent", (F.col("n_recent") > most).alias("over"))

@@ -1,3 +1,4 @@
+import time
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -42,6 +43,27 @@ def test_round_trips_over_a_weekend(spark):
     assert got == {(4, 15): (1, 1, False), (5, 16): (2, 3, False), (8, 16): (1, 4, False), (9, 4): (1, 5, True), (11, 15): (1, 5, True), (12, 16): (1, 4, False)}
 
 
+def test_round_trips_grow_with_their_rows(spark):
+    """Exits of every other second of nine days, counted in plain Python; a frame of five days a row does not end in time."""
+    n = 9 * 43_200
+    t = spark.range(n).select(F.lit("b").alias("book"), F.when(F.col("id") % 2 == 0, "x").alias("account"), F.timestamp_seconds(1704121200 + F.col("id") * 2).alias("exit_ts"))
+    began = time.monotonic()
+    got = round_trips(t.withColumn("entry_ts", F.col("exit_ts")), most=9).agg(F.count("*"), F.sum("n_recent"), F.min("n_recent"), F.max("n_recent")).first()
+    took = time.monotonic() - began
+    ks = []
+    for i in range(n):
+        d = 1704121200 - 345600 + i * 2  # the clock begins on Monday 5 January 1970
+        week, at_ = divmod(d // 86400, 7)
+        ks.append((week * 5 + min(at_, 5)) * 86400 + (d % 86400 if at_ < 5 else 0))
+    want = []
+    for own in (ks[::2], ks[1::2]):
+        k = np.array(own)
+        want.append(np.searchsorted(k, k, "right") - np.searchsorted(k, k - 5 * 86400, "right"))
+    w = np.concatenate(want)
+    assert tuple(got) == (n, w.sum(), w.min(), w.max())
+    assert took < 60
+
+
 def test_cost_stats(spark):
     rows = [("s", 2, 30.0, 5.0, 1.0, None, True), ("s", 4, -10.0, 5.0, 2.0, 2.0, None), ("t", None, 0.0, None, None, None, False)]
     d = spark.createDataFrame(rows, "strategy string, bars_held int, gross_pnl double, spread_slippage double, fees double, financing double, pdt_violation boolean")
