@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -54,3 +56,37 @@ def normal_inverse(p: Column) -> Column:
         return F.when((v > 0) & (v < 1), bound(start(v), step))
 
     return bound(p, refined)
+
+
+def normal_log_cdf(x: Column) -> Column:
+    """Logarithm of the distribution function; finite where the function itself is too small for a double."""
+
+    def below(z: Column) -> Column:
+        tail = z + F.lit(1.0) / (z + F.lit(2.0) / (z + F.lit(3.0) / (z + F.lit(4.0) / (z + F.lit(0.65)))))
+        return -z * z / 2 + F.when(z < 7.07106781186547, F.log(_poly(P, z) / _poly(Q, z))).otherwise(-F.log(tail) - F.log(F.lit(2.506628274631)))
+
+    return bound(x, lambda v: bound(below(F.abs(v)), lambda y: F.when(v > 0, F.log1p(-F.exp(y))).otherwise(y)))
+
+
+def normal_inverse_log(p: Column) -> Column:
+    """Quantile of the probability whose logarithm is ``p``, below 0; null outside. Exact far into the lower tail, where a probability underflows."""
+
+    def start(y: Column) -> Column:
+        q = F.exp(y) - 0.5
+        edge = bound(F.sqrt(-2 * y), lambda s: _poly(C, s) / _poly(D, s))
+        return F.when(q >= 0.02425 - 0.5, q * _poly(A, q * q) / _poly(B, q * q)).otherwise(edge)
+
+    def lower(y: Column) -> Column:
+        def step(x: Column) -> Column:
+            # Newton's step on the logarithm: its slope is the density over the distribution function
+            return bound(x, lambda v: bound(normal_log_cdf(v), lambda c: v - (c - y) * F.lit(2.5066282746310002) * F.exp(v * v / 2 + c)))
+
+        return step(step(step(start(y))))
+
+    half = math.log(0.5)
+    return bound(p, lambda v: F.when(v <= half, bound(F.when((v > float("-inf")) & (v <= half), v), lower)).when(v < 0, -bound(F.log(-F.expm1(v)), lower)))
+
+
+def normal_round_trip(x: Column) -> Column:
+    """x back from the probability of its own tail: the other tail's distance from 1 is lost in a double from x = 8 on."""
+    return bound(x, lambda v: bound(normal_inverse_log(normal_log_cdf(-F.abs(v))), lambda y: F.when(v > 0, -y).otherwise(y)))

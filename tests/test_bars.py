@@ -29,6 +29,20 @@ def test_normal(spark):
             assert math.isclose(r["back"], r["x"], abs_tol=1e-8)
 
 
+def test_normal_tails(spark):
+    from tapeworks.functions.normal import normal_inverse_log, normal_log_cdf, normal_round_trip
+
+    xs = [s * x for x in (0.0, 0.003, 0.5, 1.97, 1.98, 5.5, 7.07, 7.08, 8.3, 10.02, 36.9, 37.1, 39.0, 120.0, 1000.0) for s in (1, -1)] + [float("nan")]
+    d = spark.createDataFrame([(x,) for x in xs] + [(None,)], "x double")
+    got = d.select("x", normal_log_cdf(F.col("x")).alias("p"), normal_round_trip(F.col("x")).alias("back"), normal_inverse_log(F.col("x")).alias("q")).collect()
+    for r in got[:-2]:
+        assert math.isclose(r["back"], r["x"], rel_tol=1e-11, abs_tol=1e-12)
+        if abs(r["x"]) < 37:
+            assert math.isclose(r["p"], math.log(math.erfc(-r["x"] / math.sqrt(2)) / 2), rel_tol=1e-7, abs_tol=1e-15)
+        assert (r["q"] is None) == (r["x"] >= 0)
+    assert got[-1]["back"] is None and got[-1]["q"] is None
+
+
 def test_features_do_not_look_ahead(spark):
     t0 = dt.datetime(2024, 1, 1)
     rows = [("A", "D1", t0 + dt.timedelta(days=i), p, p + 1, p - 1, p + math.sin(i), 10.0 + i) for i in range(90) for p in [100 + 5 * math.sin(i / 7)]]
