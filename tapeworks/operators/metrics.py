@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeworks.functions.normal import normal_cdf, normal_inverse
+from tapeworks.functions.state import shared_folder
 
 YEAR = 252.0
+#: Trades of a strategy that lie together in one row when blocks are drawn from them.
+PIECE = 256
 
 
 def sharpe_of(r: Column, per_year: float = YEAR) -> Column:
@@ -124,6 +129,25 @@ def drawdown_scale(drawdown: Column) -> Column:
     return F.greatest(F.lit(0.0), 1 - F.abs(drawdown) * 0.5 / 0.2)
 
 
+def numbered(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """(key, i, other columns): rows counted from 0 within their key in ``order``, whose first column is left out.
+
+    Sorted by range, so a key with many rows is cut over many tasks; each range counts its own rows and
+    starts after those of the key in earlier ranges. The rows are written once to the shared folder, for ranges
+    are drawn anew at every run.
+    """
+    spark = rows.sparkSession
+    path = f"{shared_folder(spark)}/numbered-{uuid.uuid4()}"
+    place = F.monotonically_increasing_id()  # partition * 2^33 + place in it
+    at = rows.repartitionByRange(key, *order).sortWithinPartitions(key, *order).drop(order[0]).withColumn("__at", place)
+    at.write.parquet(path)
+    at = spark.read.parquet(path).withColumn("__range", F.shiftright("__at", 33))
+    ranges = at.groupBy(key, "__range").agg(F.min("__at").alias("first"), F.count("*").alias("n"))
+    before = Window.partitionBy(key).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.select(key, "__range", (F.col("first") - F.coalesce(F.sum("n").over(before), F.lit(0))).alias("__off"))
+    return at.join(ranges, [key, "__range"]).withColumn("i", F.col("__at") - F.col("__off")).drop("__at", "__range", "__off")
+
+
 def bootstrap_ruin(
     trades: DataFrame, paths: int = 10_000, horizon: int = 200, block: int = 5, limit: float = 0.5, risk: float = 0.02, key: str = "strategy", worse_share: float = 0.15, worse_r: float = 0.1,
 ) -> DataFrame:
@@ -135,19 +159,24 @@ def bootstrap_ruin(
     last bits of the md5 of strategy, path and step. Trades without an R are left out; strategies
     with fewer trades than a block are ruined.
     """
-    w = Window.partitionBy(key).orderBy("trade_id")
     known = trades.where(F.col("r_multiple").isNotNull() & ~F.isnan("r_multiple"))
-    t = known.select(key, (F.row_number().over(w) - 1).alias("i"), (F.when(F.col("r_multiple") < 0, 1.3 * F.col("r_multiple")).otherwise(F.col("r_multiple")) - 0.05).alias("r"))
+    stressed = F.when(F.col("r_multiple") < 0, 1.3 * F.col("r_multiple")).otherwise(F.col("r_multiple")) - 0.05
+    t = numbered(known.select(key, "trade_id", stressed.alias("r")), key, ["trade_id", "r"])
     n = t.groupBy(key).agg(F.count("*").alias("n"))
     starts = n.where(F.col("n") >= block).select(key, "n", F.explode(F.sequence(F.lit(0), F.lit(paths - 1))).alias("path")).select(
         key, "n", "path", F.explode(F.sequence(F.lit(0), F.lit(-(-horizon // block) - 1))).alias("b")
     )
     drawn = lambda name, at: F.conv(F.substring(F.md5(F.concat_ws(":", key, "path", name.cast("string"))), at, 8), 16, 10).cast("long")
     starts = starts.select(key, "path", "b", F.pmod(drawn(F.col("b"), 1), F.col("n") - block + 1).alias("i"))
-    ahead = Window.partitionBy(key).orderBy("i")
-    blocks = t.select(key, "i", F.array("r", *[F.lead("r", j).over(ahead) for j in range(1, block)]).alias("rs"))
+    # trades lie in pieces, each with the first trades of the next one, so a block is cut from one piece
+    size = max(PIECE, block)
+    piece = F.floor(F.col("i") / size)
+    shared = (F.col("i") % size < block - 1) & (piece > 0)
+    pieces = t.select(key, "i", "r", F.explode(F.when(shared, F.array(piece, piece - 1)).otherwise(F.array(piece))).alias("piece"))
+    pieces = pieces.groupBy(key, "piece").agg(F.array_sort(F.collect_list(F.struct("i", "r"))).alias("rs"))
     # each drawn block is a row: its log growth, and how high, how low and how far under its own peak it goes
-    joined = starts.join(blocks, [key, "i"])
+    joined = starts.withColumn("piece", piece).join(pieces, [key, "piece"])
+    joined = joined.select(key, "path", "b", F.slice("rs.r", (F.col("i") % size + 1).cast("int"), block).alias("rs"))
     at, ends = F.lit(0.0), []
     for j in range(block):
         step = F.col("b") * block + j

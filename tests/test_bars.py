@@ -100,6 +100,34 @@ def test_ruin_takes_worse_fills(spark):
     assert math.isclose(got["s"], ruined / paths) and got["t"] == 1.0
 
 
+def test_ruin_over_pieces_and_ranges(spark):
+    """One strategy's trades lie in several tasks and pieces, and every block is drawn as from one list."""
+    size, paths = 3 * metrics.PIECE + 3, 40
+    rs = [round(math.sin(k * k) * 2, 3) for k in range(size)]
+    rows = [("s", f"{k:05d}", r) for k, r in enumerate(rs)]
+    df = spark.createDataFrame(rows[::7] + [x for i, x in enumerate(rows) if i % 7], "strategy string, trade_id string, r_multiple double")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # small ranges would be put together
+    try:
+        got = metrics.numbered(df.withColumn("same", F.col("trade_id")), "strategy", ["trade_id", "r_multiple"]).select("i", "same", F.spark_partition_id().alias("p")).collect()
+        assert sorted((r["i"], int(r["same"])) for r in got) == [(k, k) for k in range(size)]
+        assert len({r["p"] for r in got}) > 1
+        ruin = metrics.bootstrap_ruin(df, paths=paths, horizon=100, limit=0.3, worse_share=0.0).first()["ruin"]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    ruined = 0
+    for p in range(paths):
+        level = peak = 1.0
+        low = False
+        for step in range(100):
+            b, j = divmod(step, 5)
+            r = rs[int(hashlib.md5(f"s:{p}:{b}".encode()).hexdigest()[:8], 16) % (size - 4) + j]
+            level *= 1 + 0.02 * ((1.3 * r if r < 0 else r) - 0.05)
+            peak = max(peak, level)
+            low = low or level <= 0.7 * peak
+        ruined += low
+    assert 0 < ruined < paths and math.isclose(ruin, ruined / paths)
+
+
 def test_ruin_is_registered_whole(spark, monkeypatch):
     from tapeworks.plans import queries
 
