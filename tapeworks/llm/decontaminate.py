@@ -70,8 +70,12 @@ def folded(words: Column) -> Column:
 
 def _values(words: Column, f: Column) -> Column:
     """The words of each folded token, in small letters."""
-    end = lambda k: F.coalesce(F.get(f["at"], k + 1), F.size(words))
-    return F.transform(f, lambda z, k: F.lower(F.array_join(F.slice(words, z["at"] + 1, end(k) - z["at"]), " ")))
+
+    def of(at: Column) -> Column:  # bound: a field of all structs is copied at each use, which is quadratic in the text
+        end = lambda k: F.coalesce(F.get(at, k + 1), F.size(words))
+        return F.transform(at, lambda i, k: F.lower(F.array_join(F.slice(words, i + 1, end(k) - i), " ")))
+
+    return _once(f["at"], of)
 
 
 def _windows(x: Column, width: int, keep=None) -> Column:
