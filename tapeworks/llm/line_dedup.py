@@ -93,7 +93,8 @@ def shared_line_rows(docs: DataFrame, min_length: int = 20, min_docs: int = 3, p
     """
     spark = docs.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = docs.mapInPandas(_keys(min_length), "h1 long, h2 long, doc_id long, row long, at binary")
+    # written once: the draw of range bounds would run over all texts a second time
+    keys = checkpoint(docs.mapInPandas(_keys(min_length), "h1 long, h2 long, doc_id long, row long, at binary"))
     ranged = keys.repartitionByRange(n, F.col("h1"), F.col("h2"), F.col("doc_id").desc()).sortWithinPartitions(
         "h1", "h2", F.col("doc_id").desc(), "row"
     )

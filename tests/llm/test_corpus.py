@@ -217,3 +217,34 @@ def test_nearest_in_double_precision(spark):
 
 def test_hash_of_lines():
     assert line_dedup.line_key(" \tAbÉ ") == "abÉ" and hashlib.sha256(b"").hexdigest()
+
+
+def test_line_keys_are_taken_from_each_text_once(spark, tmp_path, monkeypatch):
+    """The draw of range bounds reads the written keys, not the texts again."""
+    from tapeworks.llm import line_dedup
+
+    seen = tmp_path / "seen"
+    seen.mkdir()
+    plain = line_dedup._keys
+
+    def counted(min_length):
+        take = plain(min_length)
+
+        def rows(batches):
+            import uuid
+
+            def told():
+                for pdf in batches:
+                    for doc in pdf["doc_id"]:
+                        (seen / f"{doc}-{uuid.uuid4()}").touch()
+                    yield pdf
+
+            yield from take(told())
+
+        return rows
+
+    monkeypatch.setattr(line_dedup, "_keys", counted)
+    docs = spark.createDataFrame([(k, f"the line that all of them hold\nown line {k} of this text alone") for k in range(6)], "doc_id long, text string")
+    got = {r["doc_id"] for r in line_dedup.line_bitmaps(docs).collect()}
+    assert got == set(range(5))
+    assert sorted(int(p.name.split("-")[0]) for p in seen.iterdir()) == list(range(6))
