@@ -403,12 +403,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     placed = often.select("token", "doc_id", F.expr("shiftright(size, 30)").alias("n"), F.expr("size & 1073741823").alias("at"))
     shared = checkpoint(placed.join(own.select("doc_id", "bits"), "doc_id"))
 
-    links, joined = None, None
+    joined = None
     for turn in range(len(DRAWS) + 1):
         first = _with_leaders(shared, joined, turn) if turn < len(DRAWS) else _across_components(shared, joined)
         more = _links(rows, own, first, heavy, repeated)
-        links = more if links is None else links.unionByName(more)
-        joined = checkpoint(connected_components(links))
+        # components found so far stand for the links that made them
+        joined = checkpoint(connected_components(more if joined is None else more.union(joined.where("node <> component"))))
     linked = joined.select(F.col("node").alias("class_id"), F.col("component").alias("component_id"))
     out = members.join(linked, "class_id", "left").select("doc_id", "n_shingles", "class_id", F.coalesce("component_id", "class_id").alias("component_id"))
     if not counts:

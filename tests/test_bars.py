@@ -5,8 +5,9 @@ from statistics import NormalDist
 
 from pyspark.sql import functions as F
 
+from tapeworks.functions import state
 from tapeworks.functions.normal import normal_cdf, normal_inverse
-from tapeworks.operators import costs, features, metrics, trades
+from tapeworks.operators import components, costs, features, metrics, trades
 from tapeworks.operators.components import connected_components
 
 
@@ -79,6 +80,17 @@ def test_components(spark):
     assert all(got[i] == 0 for i in range(41)) and got[102] == 100
 
 
+def test_settled_components_run_no_round(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(components, "checkpoint", lambda df: written.append(1) or state.checkpoint(df))
+    e = spark.createDataFrame([(9, i) for i in range(10, 60)] + [(3, 4), (4, 3)], "a long, b long")
+    found = connected_components(e)
+    assert {tuple(r) for r in found.collect()} == {(i, 9) for i in range(9, 60)} | {(3, 3), (4, 3)}
+    assert len(written) == 1  # the edges alone; each round costs stages of all shuffle partitions
+    more = spark.createDataFrame([(60, 4), (3, 70)], "a long, b long").union(found)  # what was found, fed again with further edges
+    assert {tuple(r) for r in connected_components(more).collect()} == {(i, 9) for i in range(9, 60)} | {(3, 3), (4, 3), (60, 3), (70, 3)}
+
+
 def test_ruin_takes_worse_fills(spark):
     rs = [(-1.0 if k % 3 else 1.6) for k in range(30)]
     df = spark.createDataFrame([("s", k, r) for k, r in enumerate(rs)] + [("t", 0, 1.0)], "strategy string, trade_id int, r_multiple double")
